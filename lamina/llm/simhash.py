@@ -110,6 +110,16 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return a.join(b, (F.col("a.key") == F.col("b.key")) & near & exact).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
+def classes(held: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(k, label, component_id) for each distinct fingerprint k of held (doc_id, fp)."""
+    each = stored(held.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
+    label = connected_components(links(each.select("fp"), radius))
+    joined = each.join(label, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    joined = stored(joined, "labels")
+    ids = joined.groupBy("label").agg(F.min("least").alias("component_id"))
+    return joined.select("fp", "label").join(ids, "label").select(F.col("fp").alias("k"), "label", "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs (columns doc_id, text).
 
@@ -120,13 +130,26 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows. Other columns of docs are ignored.
     """
     held = stored(fingerprints(docs), "simhash")
-    each = stored(held.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    label = connected_components(links(each.select("fp"), radius))
-    joined = each.join(label, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    joined = stored(joined, "labels")
-    ids = joined.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_fp = joined.select("fp", "label").join(ids, "label").select(F.col("fp").alias("k"), "component_id")
-    return held.join(by_fp, F.col("fp") == F.col("k")).select("doc_id", "fp", "component_id")
+    return held.join(classes(held, radius), F.col("fp") == F.col("k")).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, all columns, without near-duplicates: of each component the row
+    with the smallest doc_id stays (null ids last; of equal ones, any single row)."""
+    prepare(docs.sparkSession)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(t) for t in payloads(b.column(1))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["row", "fp"])
+
+    kind = whole.schema["row"].dataType.simpleString()
+    held = stored(whole.mapInArrow(run, f"row {kind}, fp long").withColumn("at", F.monotonically_increasing_id()), "rows")
+    narrow = held.select(F.col("row.doc_id").alias("doc_id"), "fp", "at")
+    labels = narrow.join(classes(narrow, radius), F.col("fp") == F.col("k"))
+    first = labels.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("at"))).alias("m")).select(F.col("m.at").alias("chosen"))
+    return held.join(first, F.col("at") == F.col("chosen"), "left_semi").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def digest(found: DataFrame) -> DataFrame:
