@@ -26,8 +26,8 @@ FIT_TOXIC, FIT_OTHER, FIT_BYTES = 1500, 3000, 20_000
 FOLDS = 5
 EPOCHS, RATE, MINIBATCH = 8, 0.02, 128
 #: Windows of a text that the fit chooses from.
-TRIED = 8
-PSEUDO = 4
+TRIED = 12
+PSEUDO = 4, 16
 INPUT, HIDDEN, ATTENTION = 12, 10, 8
 GRAMS, GRAM_BITS, WORDS = (3, 4, 5), 16, 20_000
 #: Windows that run through the network at once.
@@ -249,7 +249,7 @@ def log_odds(held: list[np.ndarray], labels: np.ndarray, grams: Grams, n_words:
                 gram[int(y), np.unique(g)] += 1
     n = np.array([len(labels) - labels.sum(), labels.sum()])
     # PSEUDO further texts, split as the sample is, hold everything: what few texts hold says little
-    share = [(c + PSEUDO * n[:, None] / n.sum()) / n[:, None] for c in (word, gram)]
+    share = [(c + k * n[:, None] / n.sum()) / n[:, None] for c, k in zip((word, gram), PSEUDO, strict=True)]
     return tuple(np.clip(np.log(c[1]) - np.log(c[0]), -4, 4) for c in share)
 
 
@@ -266,13 +266,7 @@ def fit(texts: list[bytes], labels: list[int], rate: float | None = None, seed:
     number = {w: i for i, w in enumerate(distinct)}
     held = [np.array(sorted({number[w] for w in t}), np.int64) for t in split]
     grams = Grams(distinct)
-    # evidence comes from one half of the texts and the network learns on the other, so
-    # that it meets words as it will in new texts
-    half = np.random.default_rng(seed).permutation(len(y))
-    half = np.concatenate([(k := half[y[half] == c])[: (len(k) + 1) // 2] for c in (0, 1)])
-    by_word, by_gram = log_odds([held[i] for i in half], y[half], grams, len(distinct))
-    learners = np.setdiff1d(np.arange(len(y)), half)
-    learners = learners if len(np.unique(y[learners])) == 2 else np.arange(len(y))
+    by_word, by_gram = log_odds(held, y, grams, len(distinct))
     counts = np.bincount(np.concatenate(held), minlength=len(distinct))
     common = [i for i in np.argsort(-counts, kind="stable")[:WORDS].tolist() if counts[i] > 1]
     net = Network.fresh({distinct[i]: k + 1 for k, i in enumerate(common)}, seed)
@@ -291,7 +285,7 @@ def fit(texts: list[bytes], labels: list[int], rate: float | None = None, seed:
     places, mask, logits = places[chosen], mask[chosen], logits[chosen]
     net.p["b0"][0] = np.log(y.mean() / (1 - y.mean()))
     r = np.random.default_rng(seed)
-    size = max(16, min(MINIBATCH, len(learners) // 12))
+    size = max(16, min(MINIBATCH, len(y) // 12))
     used, local = np.unique(places, return_inverse=True)
     local = local.reshape(places.shape)
     for epoch in range(EPOCHS):
@@ -299,7 +293,7 @@ def fit(texts: list[bytes], labels: list[int], rate: float | None = None, seed:
             e = embed(used)
             logits = np.concatenate([net.forward(e, local[i : i + BLOCK], mask[i : i + BLOCK]) for i in range(0, len(local), BLOCK)])
         best = np.array([a + int(np.argmax(logits[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)])
-        order = r.permutation(learners)
+        order = r.permutation(len(y))
         for i in range(0, len(order), size):
             rows = order[i : i + size]
             own, at = np.unique(places[best[rows]], return_inverse=True)
