@@ -49,7 +49,7 @@ def letters(x: Column) -> Column:
 
 
 def clauses(x: Column) -> Column:
-    return F.filter(F.transform(F.split(F.lower(x), "[.,;:]"), F.trim), lambda c: c != "")
+    return F.filter(F.transform(F.split(F.lower(x), "[.,;:]"), lambda c: F.trim(c)), lambda c: c != "")
 
 
 def terms(x: Column) -> Column:
@@ -229,7 +229,10 @@ def stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
-@F.pandas_udf("string")
-def stemmed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in parts:
-        yield s.map(lambda w: None if w is None else stem(w))
+def stemmed(x: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(lambda w: None if w is None else stem(w))
+
+    return run(x)

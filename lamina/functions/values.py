@@ -291,10 +291,11 @@ def avg(a: Column) -> Column:
 def dev(a: Column) -> Column:
     """Sample standard deviation of two or more values, truncated."""
     i = ints(a)
-    n = F.size(i)
-    mean = F.aggregate(i, F.lit(0.0), lambda s, x: s + x) / F.nullif(n, F.lit(0))
-    square = F.aggregate(i, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
-    return F.when(n > 1, F.sqrt(square / F.nullif(n - 1, F.lit(0))).cast("long"))
+    n = F.size(i).cast("long")
+    add = lambda f: F.aggregate(i, F.lit(0).cast("long"), lambda s, x: s + f(x))
+    # from exact sums, so that whole results aren't lost to rounding
+    square = (n * add(lambda x: x * x) - add(lambda x: x) * add(lambda x: x)) / F.nullif(n * (n - 1), F.lit(0))
+    return F.when(n > 1, F.sqrt(square).cast("long"))
 
 
 def med(a: Column) -> Column:

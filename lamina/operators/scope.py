@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import between, slice_range
+
 VISIT = ("rec_id", "ord", "pre", "end", "depth")
 
 
@@ -121,47 +124,51 @@ def position(df: DataFrame, which: str | int, by: list[str], order: str = "ord")
     return df.where(test.get(which, i == which if isinstance(which, int) else F.lit(False))).drop("_i", "_n")
 
 
-def values(nodes: DataFrame, scope: DataFrame, selector: str | Selector, out: str = "values") -> DataFrame:
-    """(rec_id, ord, values): for each visit the selector's values in document order; an
-    array of none where there is none. # counts matches, % sums bytes, ^ gives the visit's level."""
-    s = Selector.parse(selector) if isinstance(selector, str) else selector
-    value = F.col("attrs")[s.attr] if s.attr else F.col("contents")
-    found = _inside(nodes, scope, named(s.name, s.parent))
-    if s.prefix == "^":
-        value = (F.col("s_depth") + 1).cast("string")
-    item = F.struct(F.col("pre"), value.alias("v"))
-    got = found.groupBy(F.col("rec_id").alias("r"), F.col("s_ord").alias("o")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    v = F.transform("items", lambda x: x["v"])
+def _array(s: Selector, items: Column) -> Column:
+    """A selector's values from its matches (pre, v) of one visit, in document order."""
+    v = F.transform(F.array_sort(items), lambda x: x["v"])
     if s.prefix == "#":
-        array = F.array(F.size("items").cast("string"))
+        out = F.array(F.size(items).cast("string"))
     elif s.prefix == "%":
-        array = F.array(F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.octet_length(x), F.lit(0))).cast("string"))
+        out = F.array(F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.octet_length(x), F.lit(0))).cast("string"))
     else:
-        array = F.filter(v, lambda x: x.isNotNull() & (x != ""))
-    if s.low or s.high or s.after or s.before:
-        from ..functions.values import between, slice_range
+        out = F.filter(v, lambda x: x.isNotNull() & (x != ""))
+    if not (s.low or s.high or s.after or s.before):
+        return out
 
-        def cut(x: Column) -> Column:
-            if s.after or s.before:
-                return between(x, s.after or None, s.before or None)
-            return slice_range(x, F.lit(int(s.low or 1)), F.lit(int(s.high)) if s.high else F.length(x))
+    def cut(x: Column) -> Column:
+        if s.after or s.before:
+            return between(x, s.after or None, s.before or None)
+        return slice_range(x, F.lit(int(s.low or 1)), F.lit(int(s.high)) if s.high else F.length(x))
 
-        array = F.filter(F.transform(array, cut), lambda x: x.isNotNull())
-    empty = F.array(F.lit("0")) if s.prefix in ("#", "%") else F.array().cast("array<string>")
-    held = got.select("r", "o", array.alias(out))
-    joined = scope.join(held, (F.col("rec_id") == F.col("r")) & (F.col("ord") == F.col("o")), "left").drop("r", "o")
-    return joined.withColumn(out, F.coalesce(out, empty))
+    return F.filter(F.transform(out, lambda x: cut(x)), lambda x: x.isNotNull())
 
 
 def columns(nodes: DataFrame, scope: DataFrame, **selectors: str) -> DataFrame:
-    """A scope with a column of values for each selector, 'A,B' lists in the order given."""
-    out = scope
-    for name, text in selectors.items():
-        parts = text.split(",")
-        for i, part in enumerate(parts):
-            out = values(nodes, out, part, f"_{name}{i}")
-        out = out.withColumn(name, F.concat(*(F.col(f"_{name}{i}") for i in range(len(parts))))).drop(*(f"_{name}{i}" for i in range(len(parts))))
-    return out
+    """A scope with an array of values for each selector: all matches at or below the
+    visited object, in document order; 'A,B' lists in the order given. # counts matches, %
+    sums bytes, ^ gives the visit's level. Nodes that no selector names are dropped before
+    the one join, and all selectors are gathered in one aggregation.
+    """
+    parsed = {n: [Selector.parse(p) for p in text.split(",")] for n, text in selectors.items()}
+    every = list(dict.fromkeys(s for p in parsed.values() for s in p))
+    tests = [named(s.name, s.parent) for s in every]
+    wanted = reduce(lambda a, b: a | b, tests)
+    found = _inside(nodes, scope, wanted)
+    lists = []
+    for i, (s, test) in enumerate(zip(every, tests, strict=True)):
+        value = (F.col("s_depth") + 1).cast("string") if s.prefix == "^" else F.col("attrs")[s.attr] if s.attr else F.col("contents")
+        lists.append(F.collect_list(F.when(test, F.struct(F.col("pre"), value.alias("v")))).alias(f"_{i}"))
+    got = found.groupBy(F.col("rec_id").alias("r"), F.col("s_ord").alias("o")).agg(*lists)
+    joined = scope.join(got, (F.col("rec_id") == F.col("r")) & (F.col("ord") == F.col("o")), "left").drop("r", "o")
+    none = F.array().cast("array<struct<pre:int,v:string>>")
+    out = {n: F.concat(*(_array(s, F.coalesce(F.col(f"_{every.index(s)}"), none)) for s in p)) for n, p in parsed.items()}
+    return joined.select(*scope.columns, *(c.alias(n) for n, c in out.items()))
+
+
+def values(nodes: DataFrame, scope: DataFrame, selector: str, out: str = "values") -> DataFrame:
+    """A scope with one selector's values."""
+    return columns(nodes, scope, **{out: selector})
 
 
 def outline(nodes: DataFrame) -> DataFrame:

@@ -1,3 +1,3 @@
 """Registered queries; importing a module registers its own."""
 
-from . import search  # noqa: F401
+from . import elements, exploration, relations, search  # noqa: F401

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..operators import index as I
+from ..operators import search as Q
 from ..operators.positions import phrase, positions
 
 
@@ -24,3 +26,75 @@ WHERE a.term = 'the' AND b.term = 'of' GROUP BY 1""")
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrase(positions(docs(spark, sf_dir)), ["the", "of"])
     return found.groupBy(F.col("uid").alias("doc_id")).agg(F.count("*").alias("hits"))
+
+
+@query(f"""WITH {POS} SELECT term, count(DISTINCT uid) AS df, count(*) AS tf FROM pos GROUP BY 1""")
+def term_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.totals(positions(docs(spark, sf_dir)))
+
+
+@query(f"""WITH {POS} SELECT a.uid AS doc_id, count(*) AS hits FROM pos a JOIN pos b ON a.uid = b.uid AND b.pos = a.pos + 2
+WHERE a.term = 'the' AND b.term = 'of' GROUP BY 1""")
+def phrase_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrase(positions(docs(spark, sf_dir)), ["the", None, "of"])
+    return found.groupBy(F.col("uid").alias("doc_id")).agg(F.count("*").alias("hits"))
+
+
+@query(f"""WITH {POS} SELECT DISTINCT a.uid FROM pos a JOIN pos b ON a.uid = b.uid AND b.pos > a.pos AND b.pos <= a.pos + 4 WHERE a.term = 'the' AND b.term = 'of'""")
+def proximity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.search(positions(docs(spark, sf_dir)), "the ~~~ of", frozenset())
+
+
+@query(f"""WITH {POS}, w AS (SELECT DISTINCT uid, term FROM pos WHERE term IN ('the', 'der', 'des', 'los'))
+(SELECT uid FROM w WHERE term = 'the' INTERSECT (SELECT uid FROM w WHERE term = 'der' EXCEPT SELECT uid FROM w WHERE term = 'des')) UNION SELECT uid FROM w WHERE term = 'los'""")
+def boolean_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """los OR the AND der NOT des: NOT binds before AND, AND before OR."""
+    return Q.search(positions(docs(spark, sf_dir)), "los OR the AND der NOT des", frozenset())
+
+
+@query(f"""WITH {POS} SELECT term, count(DISTINCT uid) AS df FROM pos WHERE term LIKE 'onth%' GROUP BY 1""")
+def wildcard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.counts(positions(docs(spark, sf_dir)), "onth*")
+
+
+@query(f"""WITH {POS} SELECT count(DISTINCT uid) AS df FROM pos WHERE term LIKE 'onth%'""")
+def wildcard_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.count(positions(docs(spark, sf_dir)), "onth*")
+
+
+@query(f"""WITH {POS} SELECT DISTINCT a.uid FROM pos a JOIN pos b ON a.uid = b.uid AND b.pos = a.pos + 1 WHERE a.term LIKE 'th%' AND b.term LIKE 'on%'""")
+def wildcard_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.search(positions(docs(spark, sf_dir)), "th* on*", frozenset())
+
+
+@query(f"""WITH {POS} SELECT uid, count(DISTINCT term) AS hits FROM pos WHERE term IN ('onthe', 'erly', 'edly', 'thered') GROUP BY 1""")
+def ranked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.ranked_words(positions(docs(spark, sf_dir)), "onthe erly, edly: thered the")
+
+
+@query(f"""WITH {POS}, t AS (SELECT term, uid FROM pos GROUP BY 1, 2)
+SELECT 'TEXT' AS field, term, count(*) AS df, string_agg(uid::VARCHAR, ',' ORDER BY uid) AS uids FROM t WHERE term LIKE 'ed%' GROUP BY term""")
+def postings_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = positions(docs(spark, sf_dir)).where(F.col("term").startswith("ed")).withColumn("field", F.lit("TEXT"))
+    return I.postings(I.invert(index)).select("field", "term", "df", F.array_join("uids", ",").alias("uids"))
+
+
+@query()
+def field_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positional index by paragraphs, with gaps between them."""
+    return I.paragraph_terms(docs(spark, sf_dir), "doc_id", F.split("text", "\n"), "TEXT")
+
+
+@query()
+def stem_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.search(positions(docs(spark, sf_dir)), "erly$ OR things$ AND (onthe ~~ edly)")
+
+
+@query(f"""WITH {POS}, t AS (SELECT term, count(DISTINCT uid) AS df FROM pos GROUP BY 1), n AS (SELECT count(*) AS n FROM documents)
+SELECT uid, pos.term, count(*) AS tf, round(count(*) * ln(n.n / t.df), 6) AS tfidf FROM pos JOIN t ON pos.term = t.term, n WHERE pos.term LIKE 'onth%' GROUP BY uid, pos.term, n.n, t.df""")
+def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs(spark, sf_dir)
+    index = positions(d).where(F.col("term").startswith("onth"))
+    tf, n = index.groupBy("uid", "term").agg(F.count("*").alias("tf")), d.agg(F.count("*").alias("n"))
+    df = index.groupBy("term").agg(F.count_distinct("uid").alias("df")).crossJoin(F.broadcast(n))  # one row
+    return tf.join(df, "term").select("uid", "term", "tf", F.round(F.col("tf") * F.ln(F.col("n") / F.col("df")), 6).alias("tfidf"))

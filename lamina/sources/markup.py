@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,12 +70,20 @@ def node_table(records: DataFrame, rec_id: str = "rec_id", text: str = "xml", ht
     """The node table of records (rec_id, text). One narrow stage; null texts have no nodes."""
     void = VOID if html_void else frozenset()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = [{"rec_id": r, **n} for r, t in zip(pdf["rec_id"], pdf["xml"], strict=True) if t is not None for n in nodes_of(t, void)]
-            yield pd.DataFrame(rows, columns=["rec_id", "pre", "end", "depth", "parent", "name", "parent_name", "contents", "attrs"])
-
-    return records.select(F.col(rec_id).cast("long").alias("rec_id"), F.col(text).alias("xml")).mapInPandas(run, NODE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, out = [], []
+            for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = nodes_of(t, void) if t is not None else []
+                ids += [r] * len(own)
+                out += own
+            data = [pa.array(ids, pa.int64())]
+            data += [pa.array([n[k] for n in out], pa.int32()) for k in ("pre", "end", "depth", "parent")]
+            data += [pa.array([n[k] for n in out], pa.string()) for k in ("name", "parent_name", "contents")]
+            data.append(pa.array([list(n["attrs"].items()) for n in out], pa.map_(pa.string(), pa.string())))
+            yield pa.RecordBatch.from_arrays(data, names=["rec_id", "pre", "end", "depth", "parent", "name", "parent_name", "contents", "attrs"])
+
+    return records.select(F.col(rec_id).cast("long").alias("rec_id"), F.col(text).alias("xml")).mapInArrow(run, NODE)
 
 
 def split_records(text: str, pattern: str) -> list[str]:
