@@ -28,7 +28,9 @@ from .vectors import as_bytes, element, matrix, unit
 
 LEAST = 0.9
 #: Filters that a random vector passes on average, and vectors that then meet in one.
-PASSED, MEET = 36, 16
+PASSED, MEET = 24, 64
+#: Vectors of fewer dimensions aren't halved, and no cap is narrower than this cosine.
+PRODUCT_FROM, WIDEST = 16, 0.8
 #: Members of a filter that one task compares at once; larger filters are cut into blocks,
 #: and every two blocks of a filter meet.
 BLOCK = 512
@@ -40,20 +42,28 @@ class Code:
 
     def __init__(self, d: int, n: int, seed: int = SEED):
         r = np.random.default_rng([seed, d])
-        self.size = size = max(8, math.ceil(math.sqrt(PASSED * max(n, 1) / MEET)))
+        size = max(8, math.ceil(math.sqrt(PASSED * max(n, 1) / MEET)))
         self.rotation = np.linalg.qr(r.standard_normal((d, d)))[0]
-        self.half = half = max(1, d // 2)
-        self.code = [unit(r.standard_normal((size, k))) if k else np.zeros((size, 1)) for k in (half, d - half)]
-        # the threshold that a share PASSED / size**2 of random directions exceeds
-        x = unit(r.standard_normal((256, d)))
-        a, b = self.products(x)
-        every = (a[:, :, None] + b[:, None, :]).ravel() if size <= 512 else (a[:, r.integers(0, size, 4096)] + b[:, r.integers(0, size, 4096)]).ravel()
-        self.least = float(np.quantile(every, max(0.0, 1 - PASSED / size**2)))
+        if d >= PRODUCT_FROM:
+            self.half, self.scale = d // 2, math.sqrt(0.5)
+            self.code = [unit(r.standard_normal((size, k))) for k in (self.half, d - self.half)]
+        else:
+            # too few dimensions to halve: one code of as many words as pairs would be
+            self.half, self.scale = d, 1.0
+            self.code = [unit(r.standard_normal((min(size * size, 4096), d))), np.zeros((1, 1))]
+        self.sizes = tuple(len(c) for c in self.code)
+        # the threshold that a share PASSED of all filters exceeds, for random directions
+        a, b = self.products(unit(r.standard_normal((256, d))))
+        if b.shape[1] > 512:
+            b = b[:, r.integers(0, b.shape[1], 512)]
+            a = a[:, r.integers(0, a.shape[1], 512)]
+        share = min(1.0, PASSED / (self.sizes[0] * self.sizes[1]))
+        self.least = min(WIDEST, float(np.quantile((a[:, :, None] + b[:, None, :]).ravel(), 1 - share)))
 
     def products(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         y = x @ self.rotation
         parts = y[:, : self.half], y[:, self.half :] if y.shape[1] > self.half else np.zeros((len(y), 1))
-        return tuple(p @ c.T / math.sqrt(2) for p, c in zip(parts, self.code, strict=True))
+        return tuple(p @ c.T * self.scale for p, c in zip(parts, self.code, strict=True))
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
         """For each unit vector the sorted numbers of all filters that it passes."""
@@ -65,10 +75,10 @@ class Code:
         # of each sorted row, how many reach what its partner needs: one search in all rows,
         # set apart by more than products can differ
         flat = (-b + 8.0 * np.arange(len(b))[:, None]).ravel()
-        count = np.searchsorted(flat, -need + 8.0 * row, side="right") - row * self.size
+        count = np.searchsorted(flat, -need + 8.0 * row, side="right") - row * self.sizes[1]
         at = np.repeat(np.arange(len(row)), count)
         j = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-        filters = i[at] * self.size + order[row[at], j]
+        filters = i[at] * self.sizes[1] + order[row[at], j]
         out = np.split(filters, np.searchsorted(row[at], np.arange(1, len(x))))
         return [np.sort(f) for f in out]
 

@@ -24,7 +24,8 @@ WINDOW, STRIDE = 48, 36
 #: Labelled rows that the fit takes at most, of each label, and bytes of a text that it takes whole or not at all.
 FIT_TOXIC, FIT_OTHER, FIT_BYTES = 1500, 3000, 20_000
 FOLDS = 5
-EPOCHS, RATE, MINIBATCH = 8, 0.02, 128
+#: Steps at least, so that small samples get more epochs.
+STEPS, EPOCHS, RATE, MINIBATCH = 280, 8, 0.02, 128
 #: Windows of a text that the fit chooses from.
 TRIED = 12
 PSEUDO = 4, 16
@@ -288,7 +289,7 @@ def fit(texts: list[bytes], labels: list[int], rate: float | None = None, seed:
     size = max(16, min(MINIBATCH, len(y) // 12))
     used, local = np.unique(places, return_inverse=True)
     local = local.reshape(places.shape)
-    for epoch in range(EPOCHS):
+    for epoch in range(max(EPOCHS, -(-STEPS * size // len(y)))):
         if epoch:
             e = embed(used)
             logits = np.concatenate([net.forward(e, local[i : i + BLOCK], mask[i : i + BLOCK]) for i in range(0, len(local), BLOCK)])

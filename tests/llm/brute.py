@@ -14,7 +14,12 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def simhash(rows):
+def simhash_groups(rows):
+    """A name of its component for each row."""
+    return simhash(rows, True)
+
+
+def simhash(rows, groups=False):
     """rows: (doc_id, text) -> [(doc_id, fingerprint, component)]."""
     fps = []
     for _, text in rows:
@@ -33,6 +38,8 @@ def simhash(rows):
         for j in range(i):
             if (fps[i] ^ fps[j]).bit_count() <= 3:
                 root[find(i)] = find(j)
+    if groups:
+        return [find(i) for i in range(len(rows))]
     least = {}
     for i, (d, _) in enumerate(rows):
         r = find(i)
