@@ -27,8 +27,10 @@ from .components import connected_components
 from .vectors import as_bytes, element, matrix, unit
 
 LEAST = 0.9
-#: Filters that a random vector passes on average, and vectors that then meet in one.
-PASSED, MEET = 24, 64
+#: Independent codes; filters of each that a random vector passes on average, and vectors
+#: that then meet in one. The lists of one product code vary much in length; those of
+#: several even out, so that few pairs share no filter.
+CODES, PASSED, MEET = 8, 4, 64
 #: Vectors of fewer dimensions aren't halved, and no cap is narrower than this cosine.
 PRODUCT_FROM, WIDEST = 16, 0.8
 #: Members of a filter that one task compares at once; larger filters are cut into blocks,
@@ -37,8 +39,22 @@ BLOCK = 512
 SEED = 5
 
 
+class Codes:
+    """Independent product codes for dimension d and about n vectors, their filters
+    numbered through."""
+
+    def __init__(self, d: int, n: int, seed: int = SEED):
+        self.codes = [Code(d, n, seed + 1000 * k) for k in range(CODES)]
+        self.size = self.codes[0].sizes[0] * self.codes[0].sizes[1]
+
+    def decode(self, x: np.ndarray) -> list[np.ndarray]:
+        """For each unit vector the sorted numbers of all filters that it passes."""
+        lists = [c.decode(x) for c in self.codes]
+        return [np.concatenate([own[i] + k * self.size for k, own in enumerate(lists)]) for i in range(len(x))]
+
+
 class Code:
-    """The product code for dimension d and about n vectors."""
+    """A product code for dimension d and about n vectors."""
 
     def __init__(self, d: int, n: int, seed: int = SEED):
         r = np.random.default_rng([seed, d])
@@ -92,7 +108,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _members(kind: str, n: int, full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[int, Code] = {}
+        codes: dict[int, Codes] = {}
         for b in batches:
             ids, data, many = (c.to_pylist() for c in b.columns)
             out: list[list] = [[], [], [], [], []]
@@ -100,14 +116,13 @@ def _members(kind: str, n: int, full: bool):
                 own = [i for i, v in enumerate(data) if len(v) == size]
                 x = unit(matrix([data[i] for i in own], kind))
                 d = x.shape[1]
-                code = codes.setdefault(d, Code(d, n))
+                code = codes.get(d) or codes.setdefault(d, Codes(d, n))
                 for at in range(0, len(own), 256):
                     for i, filters in zip(own[at : at + 256], code.decode(x[at : at + 256]), strict=True):
                         # vectors of different dimension never meet
-                        filters = filters + (d << 44)
-                        out[0] += filters.tolist()
+                        out[0] += (filters + (d << 44)).tolist()
                         if full:
-                            packed = filters.astype("<i8").tobytes()
+                            packed = filters.astype("<i8" if CODES * code.size >> 31 else "<i4").tobytes()
                             for c, v in zip(out[1:], (ids[i], many[i], data[i], packed), strict=True):
                                 c += [v] * len(filters)
             if not full:
@@ -135,8 +150,9 @@ def _first_shared(lists: list[np.ndarray], of: int) -> np.ndarray:
     return out
 
 
-def _compare(kind: str, least: float):
+def _compare(kind: str, least: float, n: int):
     """Members of one filter, or of two blocks of it, in a row: counts and forests."""
+    wide: dict[int, str] = {}
 
     def judge(of: tuple, rows: list[tuple]) -> tuple[list, list, list, list]:
         filter_, a, b = of
@@ -151,8 +167,9 @@ def _compare(kind: str, least: float):
         live = np.flatnonzero(linked.any(axis=1))
         if not len(live):
             return [], [], [], []
-        lists = [np.frombuffer(rows[i][4], "<i8") for i in live]
-        linked = linked[np.ix_(live, live)] & _first_shared(lists, filter_)
+        d = x.shape[1]
+        lists = [np.frombuffer(rows[i][4], wide.get(d) or wide.setdefault(d, "<i8" if CODES * Codes(d, n).size >> 31 else "<i4")) for i in live]
+        linked = linked[np.ix_(live, live)] & _first_shared(lists, filter_ - (d << 44))
         ids, many = ids[live], many[live]
         counts = linked @ many
         # a forest over what is linked: each row, unless reached, reaches out breadth first
@@ -223,7 +240,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     met = members.withColumn("block", block).withColumn("other", F.explode(others))
     met = met.select("filter", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "cid", "n", "block", "vector", "filters")
     parts = met.repartition(parallelism(vectors.sparkSession), "filter", "a", "b").sortWithinPartitions("filter", "a", "b")
-    found = stored(parts.mapInArrow(_compare(kind, least), "cid long, count long, to long"), "links")
+    found = stored(parts.mapInArrow(_compare(kind, least, n), "cid long, count long, to long"), "links")
     counts = found.where("count is not null").groupBy("cid").agg(F.sum("count").alias("links"))
     label = connected_components(found.where("to is not null").select(F.col("cid").alias("u"), F.col("to").alias("v")))
     joined = classes.select("key", "cid", "least", "n").join(counts, "cid", "left").join(label, F.col("cid") == F.col("node"), "left")

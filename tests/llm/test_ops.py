@@ -322,7 +322,7 @@ def test_caps_recall():
     y = caps.unit(y - (x * y).sum(axis=1, keepdims=True) * x)
     y = 0.9 * x + np.sqrt(1 - 0.81) * y
     for n in (2_000, 50_000, 1_000_000):
-        code = caps.Code(64, n)
+        code = caps.Codes(64, n)
         both = [bool(set(a.tolist()) & set(b.tolist())) for a, b in zip(code.decode(x), code.decode(y), strict=True)]
         assert np.mean(both) > 0.9
 
@@ -390,7 +390,7 @@ def toxic_rows(seed=0, n=600):
 
 
 def test_toxicity(spark):
-    rows, labels = toxic_rows()
+    rows, labels = toxic_rows(0, 1800)
     hard = rows + [(9000, None, None), (9001, "", "s"), (None, "grunk " * 3000, "s"), (9002, "x" * 50_000, "s")]
     docs = docs_of(spark, hard)
     table = spark.createDataFrame(labels + [(77777, 1, 1), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
