@@ -64,7 +64,7 @@ def json_records(df: DataFrame, text: str = "value", record: str = "Rec", nest:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            yield pd.DataFrame({"xml": [json_to_xml(v, record, nest) for t in pdf["t"] if t is not None for v in json_documents(t)]}, columns=["xml"])
+            yield pd.DataFrame({"xml": [json_to_xml(v, record, nest) for t in pdf["t"] if t is not None for v in json_documents(t)]}, columns=["xml"], dtype=object)
 
     return df.select(F.col(text).alias("t")).mapInPandas(run, "xml string").select(F.monotonically_increasing_id().alias("rec_id"), "xml")
 

@@ -124,7 +124,7 @@ def records(texts: DataFrame, pattern: str, text: str = "value") -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            yield pd.DataFrame({"xml": [r for t in pdf["t"] if t is not None for r in split_records(t, pattern)]}, columns=["xml"])
+            yield pd.DataFrame({"xml": [r for t in pdf["t"] if t is not None for r in split_records(t, pattern)]}, columns=["xml"], dtype=object)
 
     return texts.select(F.col(text).alias("t")).mapInPandas(run, "xml string").select(F.monotonically_increasing_id().alias("rec_id"), "xml")
 
