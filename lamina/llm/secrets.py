@@ -88,7 +88,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for s, e, k, v in spans:
                     rows.append({"start": s, "end": e, "kind": k, "base": is_base, "value": hashlib.blake2b(v.encode(), digest_size=16).digest(), "random": looks_random(v)})
             found.append(rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(kind))], names=["doc_id", "owner", "found"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(found, pa.list_(kind))], names=["doc_id", "owner", "repository", "found"])
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,12 +130,12 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     Texts are scanned whole. An empty table gives no rows; other columns are ignored.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(F.col("doc_id"), F.col("text"), F.coalesce(F.concat(F.lit("="), F.col(owner).cast("string")), F.lit("null")).alias("owner"))
-    if repository != "doc_id":
-        rows = docs.select(F.struct(F.col("doc_id"), F.col(repository).alias("r")).alias("doc_id"), F.col("text"), rows["owner"])
-    held = stored(rows.mapInArrow(_scan, f"doc_id long, owner string, found array<{CANDIDATE}>").withColumn("row", F.monotonically_increasing_id()), "secrets")
-    each = held.where(F.size("found") > 0).select("row", "owner", "doc_id", F.inline("found"))
-    counts = ownership(each.select("value", "owner", F.col("doc_id").alias("repository")))
+    named = F.coalesce(F.concat(F.lit("="), F.col(owner).cast("string")), F.lit("null"))
+    rows = docs.select(F.col("doc_id"), F.col("text"), named.alias("owner"), F.col(repository).cast("string").alias("repository"))
+    found = rows.mapInArrow(_scan, f"doc_id long, owner string, repository string, found array<{CANDIDATE}>")
+    held = stored(found.withColumn("row", F.monotonically_increasing_id()), "secrets")
+    each = held.where(F.size("found") > 0).select("row", "owner", "repository", F.inline("found"))
+    counts = ownership(each.select("value", "owner", "repository"))
     seen = each.join(counts, "value").groupBy("row").agg(F.collect_list(F.struct("start", "end", "kind", "base", "random", "owners", "repositories")).alias("seen"))
     full = held.select("row", "doc_id").join(seen.withColumnRenamed("row", "k"), F.col("row") == F.col("k"), "left").select("doc_id", "seen")
     return full.mapInArrow(_report, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_live long, n_copied long, max_repositories long")

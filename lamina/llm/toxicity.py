@@ -61,7 +61,7 @@ def gram_rows(vocabulary: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]
         for i in range(n):
             h = (h ^ data[places + i]) * np.uint32(0x01000193)
         h ^= h >> np.uint32(15)
-        yield (h * np.uint32(0x85EBCA6B) >> np.uint32(32 - GRAM_BITS)).astype(np.int64), at
+        yield (h * np.uint32(0x85EBCA6B) >> np.uint32(32 - GRAM_BITS)).astype(np.int32), at
 
 
 def cut(n: int) -> list[tuple[int, int]]:

@@ -450,3 +450,26 @@ def test_keep_one(spark):
     want = [min((d for d in p if d is not None), default=None) for p in parts.values()]
     assert got.columns == docs_of(spark, rows).columns
     assert sorted((r["doc_id"] for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_ownership_by_repository_column(spark):
+    docs = spark.createDataFrame([(1, "token: abc123def456ghi7", "a", "r1"), (2, "token: abc123def456ghi7", "a", "r1"), (3, "token: abc123def456ghi7", "a", None), (4, None, None, None)], "doc_id long, text string, source string, repo string")
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(docs, repository="repo").collect()}
+    assert got[1]["max_repositories"] == 1 and got[4]["max_repositories"] == 0 and got[4]["spans"] == ""
+
+
+def test_queries_and_sql_agree(spark):
+    import duckdb
+
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
+    assert queries.oracle_sql().keys() <= queries.queries().keys() and len(queries.queries()) == 10
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, data)
+        want = con.sql(sql)
+        names = sorted(df.columns)
+        assert sorted(want.columns) == names
+        at = [want.columns.index(c) for c in names]
+        assert sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=repr)
