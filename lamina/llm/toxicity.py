@@ -9,6 +9,7 @@ its score (multiple-instance learning), over a bounded sample of labelled rows.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -194,13 +195,18 @@ def arrange(texts: list[list[bytes]], number: dict[bytes, int]) -> tuple[np.ndar
     """Windows of all texts as rows of word numbers, which of them are real, and each
     text's first window."""
     flat = np.fromiter((number[w] for t in texts for w in t), np.int32)
+    return windows(flat, list(map(len, texts)))
+
+
+def windows(flat: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As arrange, of word numbers end to end and the texts' numbers of words."""
     begin, size, first, at = [], [], [], 0
-    for t in texts:
+    for n in sizes:
         first.append(len(begin))
-        for s, x in cut(len(t)):
+        for s, x in cut(n):
             begin.append(at + s)
             size.append(x - s)
-        at += len(t)
+        at += n
     step = np.arange(WINDOW)
     mask = step[None, :] < np.array(size)[:, None]
     places = np.array(begin)[:, None] + step[None, :]
@@ -212,7 +218,11 @@ class Grams:
     """The n-gram rows of a fixed list of words."""
 
     def __init__(self, vocabulary: list[bytes]):
-        self.rows = list(gram_rows(vocabulary))
+        parts = [list(gram_rows(vocabulary[i : i + 20_000])) for i in range(0, len(vocabulary), 20_000)]
+        self.rows = []
+        for own in zip(*parts, strict=True):
+            counts = np.concatenate([np.diff(at) for _, at in own])
+            self.rows.append((np.concatenate([g for g, _ in own]), np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)))
 
     def of(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """As gram_rows, for some of the words."""
@@ -259,13 +269,13 @@ def fit(texts: list[bytes], labels: list[int], rate: float | None = None, seed:
     rate: share of toxic texts where scores will be used; the sample's if None. Without
     rows of both labels the score is the labels' rate."""
     y = np.array(labels, np.float32)
-    split = [words(t) for t in texts]
     if not len(y) or y.min() == y.max():
         bias = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else -4.0
         return Network({}, {}, bias, False)
-    distinct = sorted(set().union(*split))
-    number = {w: i for i, w in enumerate(distinct)}
-    held = [np.array(sorted({number[w] for w in t}), np.int64) for t in split]
+    number: dict[bytes, int] = {}
+    split = [np.array([number.setdefault(w, len(number)) for w in words(t)], np.int32) for t in texts]
+    distinct = list(number)
+    held = [np.unique(t) for t in split]
     grams = Grams(distinct)
     by_word, by_gram = log_odds(held, y, grams, len(distinct))
     counts = np.bincount(np.concatenate(held), minlength=len(distinct))
@@ -277,8 +287,9 @@ def fit(texts: list[bytes], labels: list[int], rate: float | None = None, seed:
     net.p["word"][1:, 0] = by_word[common] / 2
     net.p["gram"][:, 0] = by_gram
     embed = lambda ids: net.p["word"][row[ids]] + grams.means(ids, net.p["gram"])
-    places, mask, first = arrange(split, number)
-    hint = np.concatenate([embed(np.arange(i, min(i + 50_000, len(distinct))))[:, 0] for i in range(0, len(distinct), 50_000)])
+    places, mask, first = windows(np.concatenate(split), list(map(len, split)))
+    del split, held, number
+    hint = np.concatenate([embed(np.arange(i, min(i + 20_000, len(distinct))))[:, 0] for i in range(0, len(distinct), 20_000)])
     logits = np.where(mask, hint[places], -9).max(axis=1)
     tried = [a + np.argsort(-logits[a:b], kind="stable")[:TRIED] for a, b in zip(first, np.append(first[1:], len(places)), strict=True)]
     first = np.concatenate([[0], np.cumsum([len(t) for t in tried])])
@@ -331,9 +342,20 @@ def learn(docs: DataFrame, labels: DataFrame) -> Network:
     # FIT_TOXIC + FIT_OTHER rows of two numbers are broadcast
     held = pick(docs, "doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).where(F.octet_length("text") <= FIT_BYTES)
     # a doc_id that many rows repeat counts once
-    got = held.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
     rate = one.agg(F.avg("toxic")).first()[0]
-    return fit([r["text"].encode() for r in got], [int(r["toxic"]) for r in got], rate)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for b in batches:
+            texts += payloads(b.column(0))
+            toxic += b.column(1).to_pylist()
+        net = fit(texts, toxic, rate)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((net.vocabulary, net.p, net.bias, net.trained))], pa.binary())], names=["model"])
+
+    # the sample, bounded as it is, is one task's; the driver gets the network alone
+    sample = held.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic")).repartition(1).sortWithinPartitions("doc_id")
+    got = sample.select("text", "toxic").mapInArrow(run, "model binary").first()
+    return Network(*pickle.loads(got["model"])) if got else fit([], [])
 
 
 def score(docs: DataFrame, network: Network) -> DataFrame:
