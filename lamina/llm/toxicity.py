@@ -26,10 +26,10 @@ WINDOW, STRIDE = 48, 36
 FIT_TOXIC, FIT_OTHER, FIT_BYTES = 1500, 3000, 20_000
 FOLDS = 5
 #: Steps at least, so that small samples get more epochs.
-STEPS, EPOCHS, RATE, MINIBATCH = 280, 8, 0.02, 128
-#: Windows of a text that the fit chooses from.
-TRIED = 12
-PSEUDO = 4, 16
+STEPS, EPOCHS, RATE, MINIBATCH = 144, 8, 0.02, 256
+#: Windows of a text that the fit chooses from, those with the strongest evidence; few texts have more.
+TRIED = 64
+GRAM_WEIGHT = 1 / 3
 INPUT, HIDDEN, ATTENTION = 12, 10, 8
 GRAMS, GRAM_BITS, WORDS = (3, 4, 5), 16, 20_000
 #: Windows that run through the network at once.
@@ -259,8 +259,8 @@ def log_odds(held: list[np.ndarray], labels: np.ndarray, grams: Grams, n_words:
             for g, _ in grams.of(own):
                 gram[int(y), np.unique(g)] += 1
     n = np.array([len(labels) - labels.sum(), labels.sum()])
-    # PSEUDO further texts, split as the sample is, hold everything: what few texts hold says little
-    share = [(c + k * n[:, None] / n.sum()) / n[:, None] for c, k in zip((word, gram), PSEUDO, strict=True)]
+    # one more text on either side; an n-gram's texts count by GRAM_WEIGHT, as it says less
+    share = [(c * k + 1) / (n[:, None] + 2) for c, k in zip((word, gram), (1, GRAM_WEIGHT), strict=True)]
     return tuple(np.clip(np.log(c[1]) - np.log(c[0]), -4, 4) for c in share)
 
 
