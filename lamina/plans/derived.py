@@ -14,7 +14,7 @@ from ..operators import index as I
 from ..operators import tables as B
 from ..operators import variants as G
 from ..sources import converters as C
-from .elements import SEQ, SEQ_SQL, read
+from .elements import SEQ_SQL, read, seq
 
 
 @query("""SELECT DISTINCT l_partkey AS src, l_suppkey AS dst, 'CITES' AS kind FROM lineitem UNION SELECT DISTINCT l_suppkey, l_partkey, 'CITED' FROM lineitem""")
@@ -53,7 +53,7 @@ def concept_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT p_partkey AS id, unnest(list_filter(range(1, 12), lambda i: s[i:i + 1] = 'GA'))::INT - 1 AS position, 'ga' AS alias FROM {SEQ_SQL}
 UNION ALL SELECT p_partkey, unnest(list_filter(range(1, 12), lambda i: s[i:i + 1] = 'TC'))::INT - 1, 'ga-' FROM {SEQ_SQL}""")
 def sequence_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), SEQ.alias("text"))
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), seq().alias("text"))
     return X.find_sequences(rows, {"GA": "ga"})
 
 
@@ -61,7 +61,7 @@ def sequence_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def variant_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants written as names, parsed again."""
     at = F.col("p_partkey") % 12
-    rows = read(spark, sf_dir, "part").select("p_partkey", SEQ.alias("s"), (at + 1).cast("int").alias("at"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", seq().alias("s"), (at + 1).cast("int").alias("at"))
     old = F.col("s").substr(F.col("at"), F.lit(1))
     name = F.format_string("NC_%s.1:g.%s%s>%s", "p_partkey", "at", old, F.when(old == "A", "C").otherwise("A"))
     return G.spdi(G.newest(G.variants(rows.select(F.col("p_partkey").alias("id"), name.alias("text")))))

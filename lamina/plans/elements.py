@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -157,8 +157,11 @@ def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.explode(T.pairs(F.col("text"))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
 
 
-#: A made-up sequence for each part: digits of its key written in bases.
-SEQ = F.translate(F.lpad(F.conv((F.col("p_partkey") * 7919 + 104729).cast("string"), 10, 4), 12, "0"), "0123", "ACGT")
+def seq() -> Column:
+    """A made-up sequence for each part: digits of its key written in bases."""
+    return F.translate(F.lpad(F.conv((F.col("p_partkey") * 7919 + 104729).cast("string"), 10, 4), 12, "0"), "0123", "ACGT")
+
+
 SEQ_SQL = """(SELECT p_partkey, translate(array_to_string(list_transform(range(11, -1, -1), lambda i: ((p_partkey * 7919 + 104729) // (4 ** i)::BIGINT % 4)::VARCHAR), ''), '0123', 'ACGT') AS s FROM part)"""
 
 
@@ -166,7 +169,7 @@ SEQ_SQL = """(SELECT p_partkey, translate(array_to_string(list_transform(range(1
   len(list_filter(regexp_split_to_array(s, ''), lambda c: c = 'G'))::INT AS g FROM {SEQ_SQL}""")
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s")
-    rows = read(spark, sf_dir, "part").select("p_partkey", SEQ.alias("s"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", seq().alias("s"))
     g = F.filter(N.base_counts(s), lambda x: x["letter"] == "G")
     return rows.select("p_partkey", "s", N.revcomp(s).alias("rc"), N.retain(s, leading=5).alias("lead"), N.extract(s, F.lit("4..9")).alias("mid"), N.remove_ends(s, 2, 2).alias("cut"), N.extract(s, F.lit("6..2")).alias("minus"), F.coalesce(F.try_element_at(g, F.lit(1))["count"], F.lit(0)).alias("g"))
 
@@ -174,6 +177,6 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s")
-    rows = read(spark, sf_dir, "part").select("p_partkey", SEQ.alias("s"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", seq().alias("s"))
     p = rows.select("p_partkey", "s", N.cds_to_protein(s).alias("protein"), N.plain_translation(s).alias("plain"))
     return p.withColumn("weight", N.molecular_weight(F.regexp_replace("plain", r"\*", ""))).withColumn("three", N.three_letters(F.col("plain")))
