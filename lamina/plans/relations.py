@@ -160,7 +160,7 @@ def join_into_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def link_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers two steps away from one, by the parts between."""
     l = read(spark, sf_dir, "lineitem")  # noqa: E741
-    up = l.select((-F.col("l_partkey")).alias("dst"), F.col("l_suppkey").alias("src")).distinct()
+    up = l.select((-F.col("l_partkey") - 1).alias("dst"), F.col("l_suppkey").alias("src")).distinct()
     edges = up.union(up.select(F.col("src").alias("dst"), F.col("dst").alias("src")))
     return Q.links(edges, spark.range(1).select((F.col("id") + 1).alias("uid")), 2)
 
