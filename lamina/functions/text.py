@@ -154,7 +154,6 @@ def _short_end(w: str) -> bool:
     return bool(re.search("[^aeiouy][aeiouy][^aeiouywxY]$", w) or re.fullmatch("[aeiouy][^aeiouy]", w))
 
 
-@lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
     """The Porter2 stem of a lower-case word."""
     if len(word) <= 2:
@@ -232,7 +231,8 @@ def stem(word: str) -> str:
 def stemmed(x: Column) -> Column:
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = lru_cache(maxsize=200_000)(stem)
         for s in parts:
-            yield s.map(lambda w: None if w is None else stem(w))
+            yield s.map(lambda w: None if w is None else known(w))
 
     return run(x)
