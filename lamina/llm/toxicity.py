@@ -367,10 +367,10 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
     rows; other columns are never read.
     """
     prepare(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(network)
+    model = docs.sparkSession.sparkContext.broadcast((network.vocabulary, network.p, network.bias, network.trained))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = model.value
+        net = Network(*model.value)
         for b in batches:
             s = net.scores([words(t) for t in payloads(b.column(1))])
             folds = [held_out(i) for i in b.column(0).to_pylist()]
@@ -383,12 +383,13 @@ def keep_clean(docs: DataFrame, network: Network) -> DataFrame:
     """The rows of docs that aren't predicted toxic, with all their columns. Each row is
     judged in place, by its own text; null texts stay."""
     prepare(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(network)
+    model = docs.sparkSession.sparkContext.broadcast((network.vocabulary, network.p, network.bias, network.trained))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Network(*model.value)
         for b in batches:
-            s = model.value.scores([words(t) for t in payloads(b.column(at))])
+            s = net.scores([words(t) for t in payloads(b.column(at))])
             yield b.filter(pa.array((s < 0.5) | b.column(at).is_null().to_numpy(zero_copy_only=False)))
 
     return docs.mapInArrow(run, docs.schema)
