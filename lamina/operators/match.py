@@ -17,6 +17,18 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(F.size(F.array_union(a, b)) > 0, F.floor(both * 100 / F.greatest(F.size(F.array_union(a, b)), F.lit(1)))).otherwise(0).cast("long")
 
 
+def jaccard_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, least: int) -> DataFrame:
+    """(a_id, b_id, score) of all pairs of texts with a score of `least` percent or more (1 at
+    least). Both: (id, text), ids unique. Pairs meet by the words they share. The score is no
+    more than the smaller number of words to the larger, so pairs too unequal never meet."""
+    side = lambda df, name, n: df.select(name, F.array_distinct(words(F.col("text"), True)).alias("w")).select(name, F.size("w").cast("long").alias(n), F.explode("w").alias("t"))
+    alike = (F.col("n") * 100 >= F.col("m") * least) & (F.col("m") * 100 >= F.col("n") * least)
+    left, right = side(a, a_id, "n"), side(b, b_id, "m")
+    both = left.join(right, (left.t == right.t) & alike).groupBy(a_id, "n", b_id, "m").agg(F.count("*").alias("both"))
+    score = F.floor(F.col("both") * 100 / (F.col("n") + F.col("m") - F.col("both"))).cast("long")
+    return both.withColumn("score", score).where(F.col("score") >= least).select(a_id, b_id, "score")
+
+
 def votes(citations: DataFrame, docs: DataFrame) -> DataFrame:
     """(cit, doc, votes): documents with most of a citation's word pairs, if at least
     LEAST_VOTES. Both: (id, text)."""

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions import text as T
 from ..operators import index as I
 from ..operators import match as M
 from ..operators import scope as S
@@ -171,19 +170,29 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.lag("role").over(w).alias("before"))
 
 
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select("item_id", "text")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", "text")
+
+
 _W = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+'), lambda x: x <> ''))"
 
 
 @query(f"""WITH b AS (SELECT item_id, {_W} AS w FROM benchmark), d AS (SELECT doc_id, {_W} AS w FROM documents WHERE length(text) < 400)
 SELECT item_id, doc_id, (len(list_intersect(b.w, d.w)) * 100 // len(list_distinct(b.w || d.w)))::BIGINT AS score FROM b, d WHERE len(list_intersect(b.w, d.w)) * 100 // len(list_distinct(b.w || d.w)) >= 10""")
 def jaccard_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs meet by a word they share and are scored once."""
-    side = lambda df, name: df.select(name, F.array_distinct(T.words(F.col("text"), True)).alias(f"w_{name}"))
-    b = side(read(spark, sf_dir, "benchmark"), "item_id")
-    d = side(read(spark, sf_dir, "documents").where(F.length("text") < 400), "doc_id")
-    met = b.withColumn("t", F.explode("w_item_id")).select("item_id", "t").join(d.withColumn("t", F.explode("w_doc_id")).select("doc_id", "t"), "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("both"))
-    sizes = met.join(b.select("item_id", F.size("w_item_id").alias("n")), "item_id").join(d.select("doc_id", F.size("w_doc_id").alias("m")), "doc_id")
-    return sizes.withColumn("score", F.floor(F.col("both") * 100 / (F.col("n") + F.col("m") - F.col("both"))).cast("long")).where("score >= 10").select("item_id", "doc_id", "score")
+    """Short documents only, as in its SQL; jaccard_match_all has every document."""
+    return M.jaccard_pairs(_benchmark(spark, sf_dir), _documents(spark, sf_dir).where(F.length("text") < 400), "item_id", "doc_id", 10)
+
+
+@query(f"""WITH b AS (SELECT item_id, {_W} AS w FROM benchmark), d AS (SELECT doc_id, {_W} AS w FROM documents),
+p AS (SELECT item_id, doc_id, n, m, count(*) AS c FROM (SELECT item_id, len(w) AS n, unnest(w) AS t FROM b) x JOIN (SELECT doc_id, len(w) AS m, unnest(w) AS t FROM d) y ON x.t = y.t GROUP BY ALL)
+SELECT item_id, doc_id, (c * 100 // (n + m - c))::BIGINT AS score FROM p WHERE c * 100 // (n + m - c) >= 10""")
+def jaccard_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.jaccard_pairs(_benchmark(spark, sf_dir), _documents(spark, sf_dir), "item_id", "doc_id", 10)
 
 
 @query()
