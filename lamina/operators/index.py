@@ -70,6 +70,12 @@ def totals(index: DataFrame, field: str | None = None) -> DataFrame:
     return rows.groupBy("term").agg(F.count_distinct("uid").alias("df"), F.count("*").alias("tf"))
 
 
+def tf_idf(tf: DataFrame, df: DataFrame, docs: DataFrame) -> DataFrame:
+    """(uid, term, tf, tfidf) from (uid, term, tf), (term, df) and the documents, which are counted."""
+    counted = df.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n"))))  # one row
+    return tf.join(counted, "term").select("uid", "term", "tf", F.round(F.col("tf") * F.ln(F.col("n") / F.col("df")), 6).alias("tfidf"))
+
+
 # -- record archive ------------------------------------------------------------------------
 
 

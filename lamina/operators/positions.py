@@ -20,6 +20,22 @@ def positions(docs: DataFrame, uid: str = "doc_id", text: str = "text") -> DataF
     return docs.select(F.col(uid).alias("uid"), F.posexplode(words(F.col(text))).alias("pos", "term")).select("uid", "term", "pos")
 
 
+def by_document(docs: DataFrame, uid: str = "doc_id", text: str = "text") -> DataFrame:
+    """(uid, term, positions), one row for each word of each text; ids must be unique. Words
+    are sorted within their row, so nothing is shuffled."""
+    placed = docs.select(F.col(uid).alias("uid"), F.sort_array(F.transform(words(F.col(text)), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))).alias("w"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i)["term"] != F.get("w", i - 1)["term"]))
+    marked = placed.withColumn("b", F.when(F.size("w") > 0, begins))
+    place = lambda p, end: F.transform(F.slice("w", p + 1, end - p), lambda x: x["pos"])
+    runs = F.transform("b", lambda p, j: F.struct(F.get("w", p)["term"].alias("term"), place(p, F.coalesce(F.get("b", j + 1), F.size("w"))).alias("positions")))
+    return marked.select("uid", F.explode(runs).alias("r")).select("uid", "r.term", "r.positions")
+
+
+def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df): the number of texts that hold each word."""
+    return docs.select(F.explode(F.array_distinct(words(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def phrase(index: DataFrame, terms: list[str | None]) -> DataFrame:
     """(uid, start) where the terms follow each other; None stands for any one word.
 

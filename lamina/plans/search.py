@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..operators import index as I
 from ..operators import search as Q
-from ..operators.positions import phrase, positions
+from ..operators.positions import by_document, frequencies, phrase, positions
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,8 +93,16 @@ def stem_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {POS}, t AS (SELECT term, count(DISTINCT uid) AS df FROM pos GROUP BY 1), n AS (SELECT count(*) AS n FROM documents)
 SELECT uid, pos.term, count(*) AS tf, round(count(*) * ln(n.n / t.df), 6) AS tfidf FROM pos JOIN t ON pos.term = t.term, n WHERE pos.term LIKE 'onth%' GROUP BY uid, pos.term, n.n, t.df""")
 def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighs the terms in 'onth' only, as its SQL does; tf_idf_all has every term."""
     d = docs(spark, sf_dir)
     index = positions(d).where(F.col("term").startswith("onth"))
-    tf, n = index.groupBy("uid", "term").agg(F.count("*").alias("tf")), d.agg(F.count("*").alias("n"))
-    df = index.groupBy("term").agg(F.count_distinct("uid").alias("df")).crossJoin(F.broadcast(n))  # one row
-    return tf.join(df, "term").select("uid", "term", "tf", F.round(F.col("tf") * F.ln(F.col("n") / F.col("df")), 6).alias("tfidf"))
+    tf, df = index.groupBy("uid", "term").agg(F.count("*").alias("tf")), index.groupBy("term").agg(F.count_distinct("uid").alias("df"))
+    return I.tf_idf(tf, df, d)
+
+
+@query(f"""WITH {POS}, t AS (SELECT term, count(DISTINCT uid) AS df FROM pos GROUP BY 1), n AS (SELECT count(*) AS n FROM documents)
+SELECT uid, pos.term, count(*) AS tf, round(count(*) * ln(n.n / t.df), 6) AS tfidf FROM pos JOIN t ON pos.term = t.term, n GROUP BY uid, pos.term, n.n, t.df""")
+def tf_idf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term of every document."""
+    d = docs(spark, sf_dir)
+    return I.tf_idf(by_document(d).select("uid", "term", F.size("positions").cast("long").alias("tf")), frequencies(d), d)

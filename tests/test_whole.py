@@ -1,5 +1,8 @@
 """Queries over a whole corpus leave no document and no term out."""
 
+from collections import Counter
+from math import log
+
 import pytest
 
 from lamina import catalog
@@ -37,3 +40,9 @@ def test_jaccard_match_all(spark, folder):
                 want.add((i, d, score))
     assert (1, 5, 13) in want and len(TEXTS[5]) > 400
     assert found(spark, folder, "jaccard_match_all") == want
+
+
+def test_tf_idf_all(spark, folder):
+    df = Counter(t for x in TEXTS.values() for t in set(terms(x)))
+    want = {(d, t, n, round(n * log(len(TEXTS) / df[t]), 6)) for d, x in TEXTS.items() for t, n in Counter(terms(x)).items()}
+    assert found(spark, folder, "tf_idf_all") == want
