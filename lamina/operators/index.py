@@ -40,6 +40,12 @@ def postings(inverted: DataFrame) -> DataFrame:
     return inverted.groupBy("field", "term").agg(F.count("*").alias("df"), F.array_sort(F.collect_list("uid")).alias("uids"))
 
 
+def exploded_postings(inverted: DataFrame, df: DataFrame) -> DataFrame:
+    """(term, df, uid, positions) from (uid, term, positions) and (term, df): one row for each
+    posting, so that a frequent term is many."""
+    return inverted.join(df, "term").select("term", "df", "uid", "positions")
+
+
 def merge(*parts: DataFrame) -> DataFrame:
     """Inverted parts, later ones winning for the same (field, term, uid)."""
     marked = [p.select("field", "term", "uid", "positions", F.lit(i).alias("part")) for i, p in enumerate(parts)]

@@ -46,3 +46,9 @@ def test_tf_idf_all(spark, folder):
     df = Counter(t for x in TEXTS.values() for t in set(terms(x)))
     want = {(d, t, n, round(n * log(len(TEXTS) / df[t]), 6)) for d, x in TEXTS.items() for t, n in Counter(terms(x)).items()}
     assert found(spark, folder, "tf_idf_all") == want
+
+
+def test_postings_all(spark, folder):
+    df = Counter(t for x in TEXTS.values() for t in set(terms(x)))
+    want = {("TEXT", t, df[t], d, ",".join(str(i) for i, w in enumerate(terms(x)) if w == t)) for d, x in TEXTS.items() for t in terms(x)}
+    assert found(spark, folder, "postings_all") == want
