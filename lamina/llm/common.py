@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 #: Rows that one Arrow batch may hold.
 BATCH_ROWS = 2000
+#: A key with more than one in so many rows is hot. At most so many keys can be.
+HOT = 1000
 #: Pattern of a word, for JVM expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,9 +30,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one where none is set, as in tests."""
+    """The shared folder of the cluster. Where none is set a temporary one serves a local
+    master, as in tests; a cluster's executors couldn't share it, so there it's an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lamina-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -92,3 +100,44 @@ def sha256(data: bytes) -> str:
 def word_count(text: Column) -> Column:
     """Number of words in a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """left joined with right (one row for each key) on the column `key` of both.
+
+    weight: a column of right, about how many rows of left hold the key; it isn't returned.
+    Keys with more than one in HOT of all rows, which are fewer than HOT by count, are
+    joined on the map side, so a key in a third of all rows is never one task's. how is
+    "inner" or "left"; null keys match nothing. right should be a stored table, as it is
+    read more than once.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(right.where(F.col(weight) * HOT > total).drop(weight).withColumnRenamed(key, "_hot"))
+    cold = right.where(F.col(weight) * HOT <= total).drop(weight).withColumnRenamed(key, "_cold")
+    names = [c for c in right.columns if c not in (key, weight)]
+    rest = left.join(hot.select("_hot"), F.col(key) == F.col("_hot"), "left_anti").join(cold, F.col(key) == F.col("_cold"), how)
+    held = left.join(hot, F.col(key) == F.col("_hot"))
+    return held.select(*left.columns, *names).unionByName(rest.select(*left.columns, *names))
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """(key, rows) for each run of rows with equal values in the first `keys` columns, all
+    integers without nulls. Runs cross batches; each is held whole."""
+    now, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [c.to_numpy() for c in b.columns[:keys]]
+        change = np.zeros(b.num_rows - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        edges = [0, *(np.flatnonzero(change) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            key = tuple(int(c[lo]) for c in columns)
+            if key != now and held:
+                yield now, pa.concat_batches(held) if len(held) > 1 else held[0]
+                held = []
+            now = key
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield now, pa.concat_batches(held) if len(held) > 1 else held[0]

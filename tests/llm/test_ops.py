@@ -350,7 +350,8 @@ def exact_nearest(rows, k=5, every=50):
 def test_forest(spark):
     rows = vectors(1)
     got = {}
-    for r in forest.nearest(table_of(spark, rows)).orderBy("query_id", "rank").collect():
+    # trees that ascend to their roots find everything
+    for r in forest.nearest(table_of(spark, rows), factor=1e9, share=float(forest.TREES)).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"], r["rank"]))
     want = exact_nearest(rows)
     assert got.keys() == {q for q, v in want.items() if v}
@@ -361,16 +362,46 @@ def test_forest(spark):
     assert forest.nearest(table_of(spark, [])).count() == 0
 
 
-def test_forest_recall():
+@pytest.mark.parametrize("factor", [forest.FACTOR, 1e9], ids=["parts", "everything"])
+def test_forest_in_split_parts(spark, monkeypatch, factor):
+    """Parts of a few strings, some split, and queries that no part has enough for."""
+    monkeypatch.setattr(forest, "BLOCK", 4)
+    rows = vectors(1)
+    want = exact_nearest(rows)
+    got = {}
+    for r in forest.nearest(table_of(spark, rows), factor=factor, share=factor).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    assert got.keys() == {q for q, v in want.items() if v}
+    if factor > 1e8:
+        assert {q: set(v) for q, v in got.items()} == {q: {x[0] for x in v} for q, v in want.items() if v}
+    for q, v in got.items():
+        assert len(v) == len(want[q]) and all(abs(s - dict(want[q]).get(i, s)) < 1e-12 for i, s in v.items())
+
+
+def test_forest_recall_and_work(spark):
+    """Of 12,000 vectors, a third copies of one, most of the five nearest are found, and only
+    a small share of the vectors is scored."""
     r = np.random.default_rng(3)
-    x = r.standard_normal((forest.SHARD, 64))
-    f = forest.Forest(np.arange(len(x)), x)
-    ids = np.arange(0, 3000, 50)
-    got = {q: set(v.tolist()) for q, v, _ in f.nearest(ids, x[ids], 5)}
-    s = f.u[ids] @ f.u.T
-    s[np.arange(len(ids)), ids] = -2
-    hits = [len(got[int(q)] & set(np.argsort(-row)[:5].tolist())) for q, row in zip(ids, s, strict=True)]
-    assert sum(hits) / (5 * len(ids)) >= 0.9
+    x = r.standard_normal((12_000, 64)).astype(np.float32)
+    x[::3] = x[0]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = forest.nearest(rows, every=100).toPandas()
+    u = np.unique(x, axis=0)
+    u = u.astype(float) / np.linalg.norm(u, axis=1, keepdims=True)
+    hits = all_ = 0
+    for q, own in got.groupby("query_id"):
+        assert own["rank"].tolist() == [1, 2, 3, 4, 5] and q not in own.vec_id.tolist()
+        if q % 3:
+            s = u @ (x[q].astype(float) / np.linalg.norm(x[q]))
+            best = np.sort(s)[::-1][1:]
+            hits += (own.score.to_numpy() >= best[4] - 1e-9).sum()
+            all_ += 5
+        else:
+            # copies: the smallest other ids
+            assert own.sort_values("rank").vec_id.tolist() == [i for i in range(0, 18, 3) if i != q][:5]
+    assert hits / all_ >= 0.9
+    # strings of all trees: a vector that several trees propose counts as often
+    assert got.scored.mean() < 0.55 * len(u)
 
 
 def toxic_rows(seed=0, n=600):
