@@ -33,7 +33,7 @@ TREES, BITS = 64, 64
 #: Random directions of a string's first symbol, and its bits with the sign.
 DIRECTIONS, SYMBOL = 128, 8
 #: Candidates (a tree's each count) that end the ascent: FACTOR * n ** POWER, and a share of n at most.
-FACTOR, POWER, SHARE = 9.0, 0.65, 0.5
+FACTOR, POWER, SHARE = 7.0, 0.65, 0.4
 #: Strings of a part of a tree, about; parts with more are split.
 BLOCK = 8192
 SEED = 3

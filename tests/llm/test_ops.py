@@ -392,16 +392,16 @@ def test_forest_recall_and_work(spark):
     for q, own in got.groupby("query_id"):
         assert own["rank"].tolist() == [1, 2, 3, 4, 5] and q not in own.vec_id.tolist()
         if q % 3:
-            s = u @ (x[q].astype(float) / np.linalg.norm(x[q]))
+            s = u @ (x[q].astype(float) / np.linalg.norm(x[q].astype(float)))
             best = np.sort(s)[::-1][1:]
             hits += (own.score.to_numpy() >= best[4] - 1e-9).sum()
             all_ += 5
         else:
             # copies: the smallest other ids
             assert own.sort_values("rank").vec_id.tolist() == [i for i in range(0, 18, 3) if i != q][:5]
-    assert hits / all_ >= 0.9
+    assert hits / all_ >= 0.95
     # strings of all trees: a vector that several trees propose counts as often
-    assert got.scored.mean() < 0.55 * len(u)
+    assert got.scored.mean() < 0.4 * len(u)
 
 
 def toxic_rows(seed=0, n=600):
