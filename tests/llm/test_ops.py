@@ -387,7 +387,7 @@ def test_forest_recall_and_work(spark):
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = forest.nearest(rows, every=100).toPandas()
     u = np.unique(x, axis=0)
-    u = u.astype(float) / np.linalg.norm(u, axis=1, keepdims=True)
+    u = u.astype(float) / np.linalg.norm(u.astype(float), axis=1, keepdims=True)
     hits = all_ = 0
     for q, own in got.groupby("query_id"):
         assert own["rank"].tolist() == [1, 2, 3, 4, 5] and q not in own.vec_id.tolist()
