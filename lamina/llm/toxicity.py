@@ -2,9 +2,13 @@
 
 Every word enters as the sum of a word vector and of vectors of its character n-grams. A
 window's hidden states, of both directions, are pooled by attention into one logit. A
-text's score is that of its most toxic window; all overlapping windows are scored. The
-network is trained here with numpy, through time, on the window of each text that decides
-its score (multiple-instance learning), over a bounded sample of labelled rows.
+text's score is that of its most toxic window. Windows of WINDOW words begin every STRIDE
+words, half a window, and at the end, so any passage of up to STRIDE words is whole in one.
+
+The network is trained here with numpy, through time, from random parameters, over a
+bounded sample of labelled rows. At first every window takes its text's label, whatever it
+holds; then only the window that decides a text's score learns (multiple-instance
+learning), which lowers the windows of other texts that look worst.
 """
 
 from __future__ import annotations
@@ -21,15 +25,14 @@ from pyspark.sql import functions as F
 
 from .common import payloads, pick, prepare
 
-WINDOW, STRIDE = 48, 36
+WINDOW, STRIDE = 48, 24
 #: Labelled rows that the fit takes at most, of each label, and bytes of a text that it takes whole or not at all.
 FIT_TOXIC, FIT_OTHER, FIT_BYTES = 1500, 3000, 20_000
 FOLDS = 5
-#: Steps at least, so that small samples get more epochs.
-STEPS, EPOCHS, RATE, MINIBATCH = 144, 8, 0.02, 256
-#: Windows of a text that the fit chooses from, those with the strongest evidence; few texts have more.
-TRIED = 64
-GRAM_WEIGHT = 1 / 3
+#: Minibatches in which windows, drawn from all in turn, take their text's label; rounds over
+#: all texts by their deciding windows, and minibatches of those at least.
+FIRST_STEPS, ROUNDS, STEPS = 260, 3, 60
+RATE, MINIBATCH = 0.01, 128
 INPUT, HIDDEN, ATTENTION = 12, 10, 8
 GRAMS, GRAM_BITS, WORDS = (3, 4, 5), 16, 20_000
 #: Windows that run through the network at once.
@@ -145,13 +148,14 @@ class Network:
         ds = s * (ds - (s * ds).sum(axis=0))
         g["va"] = (a * ds[:, :, None]).sum(axis=(0, 1))
         da = ds[:, :, None] * p["va"] * (1 - a * a)
-        g["wa"] = np.einsum("tni,tnj->ij", h, da)
+        g["wa"] = h.reshape(-1, 2 * HIDDEN).T @ da.reshape(-1, ATTENTION)
         dh += da @ p["wa"].T
-        de = np.zeros_like(e)
+        n, steps = places.shape
+        de, at = np.zeros_like(e), places.T.ravel()
         for k, d in enumerate("fb"):
             u = p[f"u{d}"]
-            du, dx = np.zeros_like(u), np.zeros((len(e), 3 * HIDDEN), np.float32)
-            carry = np.zeros((places.shape[0], HIDDEN), np.float32)
+            du, dx = np.zeros_like(u), np.zeros((steps, n, 3 * HIDDEN), e.dtype)
+            carry = np.zeros((n, HIDDEN), e.dtype)
             for t, before, z, r, c, hc in reversed(keep[d]):
                 m = mask[:, t, None]
                 full = carry + dh[t, :, k * HIDDEN : (k + 1) * HIDDEN]
@@ -161,23 +165,25 @@ class Network:
                 dr = dc * hc * r * (1 - r)
                 dhu = np.concatenate([dz, dr, dc * r], axis=1)
                 du += before.T @ dhu
-                np.add.at(dx, places[:, t], np.concatenate([dz, dr, dc], axis=1))
+                dx[t, :, : 2 * HIDDEN], dx[t, :, 2 * HIDDEN :] = dhu[:, : 2 * HIDDEN], dc
                 carry = np.where(m, dn * z + dhu @ u.T, full)
+            dx = sums(dx.reshape(-1, 3 * HIDDEN), at, len(e))
             g |= {f"u{d}": du, f"w{d}": e.T @ dx, f"b{d}": dx.sum(axis=0)}
             de += dx @ p[f"w{d}"].T
         return g, de
 
-    def step(self, name: str, gradient: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
-        """Adagrad."""
-        seen = self.seen.setdefault(name, np.full_like(self.p[name], 1e-3))
-        seen[rows] += gradient * gradient
-        self.p[name][rows] -= RATE * gradient / np.sqrt(seen[rows])
+    def step(self, name: str, gradient: np.ndarray, t: int, rate: float, rows: np.ndarray | slice = slice(None)) -> None:
+        """Adam, at step t from 1; rows without gradients rest."""
+        m, v = self.seen.setdefault(name, (np.zeros_like(self.p[name]), np.zeros_like(self.p[name])))
+        m[rows] = 0.9 * m[rows] + 0.1 * gradient
+        v[rows] = 0.99 * v[rows] + 0.01 * gradient * gradient
+        self.p[name][rows] -= rate * m[rows] / (1 - 0.9**t) / (np.sqrt(v[rows] / (1 - 0.99**t)) + 1e-7)
 
     def logits(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Logits of all windows of texts, and the texts' first windows' places."""
-        distinct = list(set().union(*texts))
+        flat, distinct = numbered(texts)
         e = self.embed(distinct) if distinct else np.zeros((1, INPUT), np.float32)
-        places, mask, first = arrange(texts, dict(zip(distinct, range(len(distinct)), strict=True)))
+        places, mask, first = windows(flat, list(map(len, texts)))
         parts = [self.forward(e, places[i : i + BLOCK], mask[i : i + BLOCK]) for i in range(0, len(places), BLOCK)]
         return np.concatenate(parts), first
 
@@ -191,15 +197,24 @@ class Network:
         return 1 / (1 + np.exp(-np.maximum.reduceat(logits, first).astype(np.float64)))
 
 
-def arrange(texts: list[list[bytes]], number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of all texts as rows of word numbers, which of them are real, and each
-    text's first window."""
-    flat = np.fromiter((number[w] for t in texts for w in t), np.int32)
-    return windows(flat, list(map(len, texts)))
+def sums(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """n rows: each the sum of the rows whose `at` is its number."""
+    order = np.argsort(at, kind="stable")
+    own, first = np.unique(at[order], return_index=True)
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    out[own] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
+def numbered(texts: list[list[bytes]]) -> tuple[np.ndarray, list[bytes]]:
+    """The words of all texts end to end, as numbers into the distinct ones."""
+    words = pa.array([w for t in texts for w in t], pa.large_binary()).dictionary_encode()
+    return words.indices.to_numpy(), words.dictionary.to_pylist()
 
 
 def windows(flat: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As arrange, of word numbers end to end and the texts' numbers of words."""
+    """Windows of all texts as rows of word numbers, which of them are real, and each text's
+    first window; from the word numbers end to end and the texts' sizes."""
     begin, size, first, at = [], [], [], 0
     for n in sizes:
         first.append(len(begin))
@@ -249,77 +264,60 @@ class Grams:
         return rows, np.add.reduceat(d[order], first, axis=0)
 
 
-def log_odds(held: list[np.ndarray], labels: np.ndarray, grams: Grams, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """By word and by n-gram: smoothed log ratio of the shares of toxic and other texts
-    that hold it. held: the distinct words of each text."""
-    word, gram = np.zeros((2, n_words)), np.zeros((2, 1 << GRAM_BITS))
-    for own, y in zip(held, labels, strict=True):
-        if len(own):
-            word[int(y), own] += 1
-            for g, _ in grams.of(own):
-                gram[int(y), np.unique(g)] += 1
-    n = np.array([len(labels) - labels.sum(), labels.sum()])
-    # one more text on either side; an n-gram's texts count by GRAM_WEIGHT, as it says less
-    share = [(c * k + 1) / (n[:, None] + 2) for c, k in zip((word, gram), (1, GRAM_WEIGHT), strict=True)]
-    return tuple(np.clip(np.log(c[1]) - np.log(c[0]), -4, 4) for c in share)
-
-
 def fit(texts: list[bytes], labels: list[int], rate: float | None = None, seed: int = 11) -> Network:
-    """Trains on whole texts: of each, on the TRIED windows with the strongest evidence.
-    rate: share of toxic texts where scores will be used; the sample's if None. Without
-    rows of both labels the score is the labels' rate."""
+    """Trains on whole texts. rate: share of toxic texts where scores will be used; the
+    sample's if None. Without rows of both labels the score is the labels' rate."""
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         bias = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else -4.0
         return Network({}, {}, bias, False)
-    number: dict[bytes, int] = {}
-    split = [np.array([number.setdefault(w, len(number)) for w in words(t)], np.int32) for t in texts]
-    distinct = list(number)
-    held = [np.unique(t) for t in split]
-    grams = Grams(distinct)
-    by_word, by_gram = log_odds(held, y, grams, len(distinct))
-    counts = np.bincount(np.concatenate(held), minlength=len(distinct))
+    split = [words(t) for t in texts]
+    flat, distinct = numbered(split)
+    sizes = list(map(len, split))
+    ends = np.cumsum(sizes)
+    counts = np.bincount(np.concatenate([np.unique(flat[e - n : e]) for e, n in zip(ends, sizes, strict=True)]), minlength=max(1, len(distinct)))
     common = [i for i in np.argsort(-counts, kind="stable")[:WORDS].tolist() if counts[i] > 1]
     net = Network.fresh({distinct[i]: k + 1 for k, i in enumerate(common)}, seed)
+    distinct = distinct or [b""]
+    grams = Grams(distinct)
     row = np.zeros(len(distinct), np.int64)
     row[common] = np.arange(len(common)) + 1
-    # the first input begins as the evidence of the sample's counts
-    net.p["word"][1:, 0] = by_word[common] / 2
-    net.p["gram"][:, 0] = by_gram
     embed = lambda ids: net.p["word"][row[ids]] + grams.means(ids, net.p["gram"])
-    places, mask, first = windows(np.concatenate(split), list(map(len, split)))
-    del split, held, number
-    hint = np.concatenate([embed(np.arange(i, min(i + 20_000, len(distinct))))[:, 0] for i in range(0, len(distinct), 20_000)])
-    logits = np.where(mask, hint[places], -9).max(axis=1)
-    tried = [a + np.argsort(-logits[a:b], kind="stable")[:TRIED] for a, b in zip(first, np.append(first[1:], len(places)), strict=True)]
-    first = np.concatenate([[0], np.cumsum([len(t) for t in tried])])
-    chosen = np.concatenate(tried)
-    places, mask, logits = places[chosen], mask[chosen], logits[chosen]
+    places, mask, first = windows(flat, sizes)
+    bounds = np.append(first, len(places))
+    of = np.repeat(np.arange(len(y)), np.diff(bounds))
+    del split, flat
     net.p["b0"][0] = np.log(y.mean() / (1 - y.mean()))
     r = np.random.default_rng(seed)
-    size = max(16, min(MINIBATCH, len(y) // 12))
+    t = 0
+
+    def train(chosen: np.ndarray, rate: float) -> None:
+        nonlocal t
+        t += 1
+        own, at = np.unique(places[chosen], return_inverse=True)
+        at, m = at.reshape(len(chosen), -1), mask[chosen]
+        e, keep = embed(own), {}
+        error = (sigmoid(net.forward(e, at, m, keep)) - y[of[chosen]]) / len(chosen)
+        g, de = net.backward(e, at, m, keep, error.astype(np.float32))
+        for k, v in g.items():
+            net.step(k, v.astype(np.float32), t, rate / 2)
+        ids = row[own]
+        net.step("word", de[ids > 0], t, rate, ids[ids > 0])
+        touched, dgram = grams.gradient(own, de)
+        net.step("gram", dgram, t, rate, touched)
+
+    drawn = np.concatenate([r.permutation(len(places)) for _ in range(-(-FIRST_STEPS * MINIBATCH // len(places)))])
+    for i in range(FIRST_STEPS):
+        train(drawn[i * MINIBATCH : (i + 1) * MINIBATCH], RATE)
     used, local = np.unique(places, return_inverse=True)
     local = local.reshape(places.shape)
-    for epoch in range(max(EPOCHS, -(-STEPS * size // len(y)))):
-        if epoch:
-            e = embed(used)
-            logits = np.concatenate([net.forward(e, local[i : i + BLOCK], mask[i : i + BLOCK]) for i in range(0, len(local), BLOCK)])
-        best = np.array([a + int(np.argmax(logits[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)])
-        order = r.permutation(len(y))
-        for i in range(0, len(order), size):
-            rows = order[i : i + size]
-            own, at = np.unique(places[best[rows]], return_inverse=True)
-            at, m = at.reshape(len(rows), -1), mask[best[rows]]
-            e, keep = embed(own), {}
-            out = net.forward(e, at, m, keep)
-            error = (sigmoid(out) - y[rows]) / len(rows)
-            g, de = net.backward(e, at, m, keep, error.astype(np.float32))
-            for k, v in g.items():
-                net.step(k, v.astype(np.float32))
-            ids = row[own]
-            net.step("word", de[ids > 0], ids[ids > 0])
-            touched, dgram = grams.gradient(own, de)
-            net.step("gram", dgram, touched)
+    for _ in range(max(ROUNDS, -(-STEPS * MINIBATCH // len(y)))):
+        e = np.concatenate([embed(used[i : i + 20_000]) for i in range(0, len(used), 20_000)])
+        logits = np.concatenate([net.forward(e, local[i : i + BLOCK], mask[i : i + BLOCK]) for i in range(0, len(local), BLOCK)])
+        best = np.array([a + int(np.argmax(logits[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+        best = best[r.permutation(len(best))]
+        for i in range(0, len(best), MINIBATCH):
+            train(best[i : i + MINIBATCH], RATE / 2)
     net.seen = {}
     if rate is not None:
         odds = y.mean() / (1 - y.mean())
@@ -332,16 +330,19 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Network:
-    """Fits on a bounded sample: of labelled rows whose fold isn't held out, those with the
-    least hashed ids, FIT_TOXIC toxic and FIT_OTHER other ones, texts of up to FIT_BYTES."""
+    """Fits on a bounded sample: of the documents with a label whose fold isn't held out and
+    a text of up to FIT_BYTES, those with the least hashed ids, FIT_TOXIC toxic and FIT_OTHER
+    other ones. Labels of documents that aren't there take no place in it. A doc_id that many
+    rows repeat counts once; null ids, labels and texts aren't learned from."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     rows = pick(labels, "doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(fold != 0)
     one = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    first = lambda y, n: one.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    fitting = pick(docs, "doc_id", "text").where(F.octet_length("text") <= FIT_BYTES)
+    there = one.join(fitting.select("doc_id"), "doc_id", "left_semi")
+    first = lambda y, n: there.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = first(1, FIT_TOXIC).union(first(0, FIT_OTHER)).withColumnRenamed("doc_id", "id")
     # FIT_TOXIC + FIT_OTHER rows of two numbers are broadcast
-    held = pick(docs, "doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).where(F.octet_length("text") <= FIT_BYTES)
-    # a doc_id that many rows repeat counts once
+    held = fitting.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
     rate = one.agg(F.avg("toxic")).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,7 +362,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Network:
 def score(docs: DataFrame, network: Network) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of docs (doc_id, text).
 
-    Every overlapping window of the whole text is scored, and the greatest counts. Null and
+    The windows of the whole text are scored, and the greatest counts. Null and
     empty texts have one empty window. held_out tells whether the id's fold kept its label
     from the fit; a null id is in fold 0. Repeated rows score alike. An empty table gives no
     rows; other columns are never read.
@@ -376,12 +377,13 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
             folds = [held_out(i) for i in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(folds, pa.bool_()), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, network: Network) -> DataFrame:
     """The rows of docs that aren't predicted toxic, with all their columns. Each row is
-    judged in place, by its own text; null texts stay."""
+    judged in place, by its own text: repeated rows alike, whatever their ids. Null texts
+    stay; empty ones are judged as one empty window. An empty table gives no rows."""
     prepare(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast((network.vocabulary, network.p, network.bias, network.trained))
     at = docs.columns.index("text")

@@ -441,6 +441,65 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs.limit(0), toxicity.learn(docs, none)).count() == 0
 
 
+def plain_score(net, text):
+    """The contract of a score in plain loops: windows, directions, attention, maximum."""
+    p, words = net.p, toxicity.words(text)
+    dot = lambda v, m: [sum(float(v[i]) * float(m[i][j]) for i in range(len(v))) for j in range(len(m[0]))]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    hidden, best = toxicity.HIDDEN, None
+    starts = sorted({*range(0, max(0, len(words) - toxicity.WINDOW), toxicity.STRIDE), max(0, len(words) - toxicity.WINDOW)})
+    for start in starts:
+        e = [net.embed([w])[0].tolist() for w in words[start : start + toxicity.WINDOW]]
+        states = [[] for _ in e]
+        for d in "fb":
+            h = [0.0] * hidden
+            for t in range(len(e)) if d == "f" else reversed(range(len(e))):
+                x = [a + float(b) for a, b in zip(dot(e[t], p[f"w{d}"]), p[f"b{d}"])]
+                u = dot(h, p[f"u{d}"])
+                z = [sig(x[i] + u[i]) for i in range(hidden)]
+                r = [sig(x[i + hidden] + u[i + hidden]) for i in range(hidden)]
+                c = [np.tanh(x[i + 2 * hidden] + r[i] * u[i + 2 * hidden]) for i in range(hidden)]
+                h = [(1 - z[i]) * c[i] + z[i] * h[i] for i in range(hidden)]
+                states[t] = states[t] + h
+        weights = [np.exp(sum(np.tanh(a) * float(v) for a, v in zip(dot(h, p["wa"]), p["va"]))) for h in states]
+        pooled = [sum(w * h[i] for w, h in zip(weights, states)) / sum(weights) for i in range(2 * hidden)] if e else [0.0] * 2 * hidden
+        logit = sum(a * float(b) for a, b in zip(pooled, p["out"])) + float(p["b0"][0])
+        best = logit if best is None else max(best, logit)
+    return sig(best)
+
+
+def test_scores_by_plain_loops():
+    rows, labels = toxic_rows(3, 200)
+    net = toxicity.fit([t.encode() for _, t, _ in rows], [y for *_, y in labels])
+    texts = [b"", b" . ", b"Grunk", *(t.encode() for _, t, _ in rows[:12]), (" ".join(t for _, t, _ in rows[:3])).encode()]
+    got = net.scores([toxicity.words(t) for t in texts])
+    assert np.allclose(got, [plain_score(net, t) for t in texts], atol=1e-4)
+
+
+def rank_quality(scores, y):
+    """Share of (toxic, other) pairs in the right order."""
+    a, b = scores[y == 1], scores[y == 0]
+    return ((a[:, None] > b[None, :]) + 0.5 * (a[:, None] == b[None, :])).mean()
+
+
+def test_the_network_beats_a_word_list():
+    """From random parameters, with no statistics of words, it ranks held-out texts better
+    than the greatest log-odds of a text's words: it knows bent forms by their n-grams."""
+    rows, labels = toxic_rows(4, 2400)
+    texts, y = [t.encode() for _, t, _ in rows], np.array([x for *_, x in labels])
+    net = toxicity.fit(texts[:1200], y[:1200].tolist())
+    assert not hasattr(toxicity, "log_odds")
+    seen = {0: {}, 1: {}}
+    for t, label in zip(texts[:1200], y[:1200]):
+        for w in set(toxicity.words(t)):
+            seen[label][w] = seen[label].get(w, 0) + 1
+    n = np.bincount(y[:1200])
+    odds = lambda w: np.log((seen[1].get(w, 0) + 1) / (n[1] + 2)) - np.log((seen[0].get(w, 0) + 1) / (n[0] + 2))
+    held = [toxicity.words(t) for t in texts[1200:]]
+    listed = np.array([max(map(odds, w)) for w in held])
+    assert rank_quality(net.scores(held), y[1200:]) >= max(0.95, rank_quality(listed, y[1200:]) - 0.005)
+
+
 def test_gradients():
     """Through time, against differences."""
     net = toxicity.Network.fresh({b"a": 1, b"b": 2, b"c": 3}, 1)
