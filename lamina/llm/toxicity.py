@@ -199,13 +199,22 @@ class Network:
 
 def sums(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """n rows: each the sum of the rows whose `at` is its number."""
-    order = np.argsort(at, kind="stable")
-    own, first = np.unique(at[order], return_index=True)
     out = np.zeros((n, rows.shape[1]), rows.dtype)
-    out[own] = np.add.reduceat(rows[order], first, axis=0)
+    own, total = grouped(rows, at)
+    out[own] = total
     return out
 
 
+def grouped(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct numbers of `at`, the sum of the rows of each)."""
+    # numbers of 16 bits sort in linear time
+    at = at.astype(np.uint16) if at.max() < 1 << 16 else at
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[first], np.add.reduceat(rows[order], first, axis=0)
+
+
 def numbered(texts: list[list[bytes]]) -> tuple[np.ndarray, list[bytes]]:
     """The words of all texts end to end, as numbers into the distinct ones."""
     words = pa.array([w for t in texts for w in t], pa.large_binary()).dictionary_encode()
@@ -257,11 +266,8 @@ class Grams:
         h, d = [], []
         for g, at in self.of(words):
             h.append(g)
-            d.append(np.repeat(de / (len(GRAMS) * np.diff(at))[:, None], np.diff(at), axis=0))
-        h, d = np.concatenate(h), np.concatenate(d)
-        order = np.argsort(h, kind="stable")
-        rows, first = np.unique(h[order], return_index=True)
-        return rows, np.add.reduceat(d[order], first, axis=0)
+            d.append(np.repeat(de / (len(GRAMS) * np.diff(at)).astype(de.dtype)[:, None], np.diff(at), axis=0))
+        return grouped(np.concatenate(d), np.concatenate(h))
 
 
 def fit(texts: list[bytes], labels: list[int], rate: float | None = None, seed: int = 11) -> Network:
