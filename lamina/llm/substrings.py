@@ -1,14 +1,15 @@
 """Substring dedup by Rabin-Karp hashes of every fixed-length word window.
 
-Texts are packed into rows of bounded size. For each pack, a polynomial rolling hash of
-every window is computed; its distinct values, sorted, are cut by hash range and sent to
-the ranges' tasks, which count them over all packs. A bitmap comes back for each pack and
-range and tells which values came more than once. Repeated windows then merge into
-maximal intervals, whose words go.
+Texts are packed into rows of bounded size. For each pack, two independent polynomial
+rolling hashes of every window are computed, 64 and 24 bits of them kept; the distinct
+ones, sorted, are cut by hash range and sent to the ranges' tasks, which count them over
+all packs. A bitmap comes back for each pack and range and tells which values came more
+than once. Repeated windows then merge into maximal intervals, whose words go.
 
 Because a pack sends each value once, with a mark if the pack itself repeats it, a
 passage in a third of all documents loads its range by one value for each pack. Sorted
-hashes are sent as differences, compressed, and bitmaps instead of positions come back.
+hashes are sent as differences, compressed, and bitmaps instead of positions come back: a
+row for each window and a plain aggregation would write over four times the input.
 """
 
 from __future__ import annotations
@@ -23,24 +24,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import payloads, pick, prepare, sha256, stored
+from .common import payloads, prepare, sha256, stored
 
 WINDOW = 35
 #: Bytes of text in a pack; a longer text is a pack of its own.
 PACK_BYTES = 12 << 20
 #: Windows that a counting task gets, on average.
 RANGE_WINDOWS = 3_000_000
-#: Odd base of the polynomial, modulo 2**64, and its inverse.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-#: Distinct words that are remembered.
-CACHE = 400_000
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+#: Odd bases of the polynomials, modulo 2**64, and bits of the second one's hash.
+BASES, CHECK_BITS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), 24
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -50,30 +42,42 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def rolling(values: np.ndarray, window: int) -> np.ndarray:
-    """Hash of every `window` consecutive values: sum of value[i+j] * BASE**j, mixed."""
+def rolling(values: np.ndarray, window: int, base: int = BASES[0]) -> np.ndarray:
+    """Hash of every `window` consecutive values: sum of value[i+j] * base**j, mixed."""
     n = len(values) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(BASE, len(values)), out=total[1:])
-    h = (total[window:] - total[:-window]) * powers(INVERSE, n)
+    np.cumsum(values * powers(base, len(values)), out=total[1:])
+    h = (total[window:] - total[:-window]) * powers(pow(base, -1, 1 << 64), n)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
     return h
 
 
-def window_hashes(texts: list[list[bytes]], window: int, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows inside texts, and where they start in the texts' words end to end."""
-    if len(cache) > CACHE:
-        cache.clear()
+def window_hashes(texts: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes of all windows inside texts, and where they start in the texts' words end to end."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    values = np.fromiter((cache[w] for t in texts for w in t), np.uint64, int(sizes.sum()))
-    h = rolling(values, window)
+    words = pa.array([w for t in texts for w in t], pa.large_binary()).dictionary_encode()
+    distinct = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.dictionary.to_pylist())), np.uint64).reshape(-1, 2)
+    number = words.indices.to_numpy()
+    h = rolling(distinct[number, 0], window)
     left = np.repeat(np.cumsum(sizes), sizes)[: len(h)] - np.arange(len(h))
     starts = np.flatnonzero(left >= window)
-    return h[starts], starts
+    g = rolling(distinct[number, 1], window, BASES[1])
+    return h[starts], (g[starts] >> np.uint64(64 - CHECK_BITS)).astype(np.uint32), starts
+
+
+def ordered(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order in which equal pairs of hashes follow each other by h, where a new pair begins)."""
+    order = np.argsort(h, kind="stable")
+    a, b = h[order], g[order]
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():
+        order = np.lexsort((g, h))
+        a, b = h[order], g[order]
+    return order, np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(h)]
 
 
 def squeeze(data: bytes) -> bytes:
@@ -84,22 +88,26 @@ def spread(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def to_blob(sorted_hashes: np.ndarray) -> bytes:
-    """Differences of sorted hashes, byte by byte plane, compressed."""
-    steps = np.diff(sorted_hashes, prepend=np.uint64(0))
-    return squeeze(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+def to_blob(h: np.ndarray, g: np.ndarray) -> bytes:
+    """Differences of sorted hashes, byte by byte plane, and their checks, compressed."""
+    steps = np.diff(h, prepend=np.uint64(0))
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    return squeeze(planes + np.ascontiguousarray(g.view(np.uint8).reshape(-1, 4)[:, : CHECK_BITS // 8].T).tobytes())
 
 
-def from_blob(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(spread(blob), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+def from_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(spread(blob), np.uint8).reshape(8 + CHECK_BITS // 8, -1)
+    h = np.cumsum(np.ascontiguousarray(planes[:8].T).view(np.uint64).ravel(), dtype=np.uint64)
+    g = np.zeros((len(h), 4), np.uint8)
+    g[:, : CHECK_BITS // 8] = planes[8:].T
+    return h, g.view(np.uint32).ravel()
 
 
-def cuts(hashes: np.ndarray, ranges: int) -> np.ndarray:
-    """Places where sorted hashes pass from one range to the next, ends included."""
-    step = (1 << 64) // ranges + 1
-    edges = np.array([i * step for i in range(1, ranges)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]]).astype(np.int64)
+def cuts(h: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the hash ranges that sorted hashes fall into, where each begins, and the end)."""
+    own = (h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(h)])
+    return own[first].astype(np.int64), np.append(first, len(h))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,16 +140,20 @@ def unpack(lengths: bytes, texts: bytes) -> list[list[bytes]]:
 
 def _send(window: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for b in batches:
             for pack, lengths, texts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                hashes, _ = window_hashes(unpack(lengths, texts), window, cache)
-                values, counts = np.unique(hashes, return_counts=True)
-                at = cuts(values, ranges)
-                held = [r for r in range(ranges) if at[r] < at[r + 1]]
-                blobs = [to_blob(values[at[r] : at[r + 1]]) for r in held]
-                marks = [squeeze(np.packbits(counts[at[r] : at[r + 1]] > 1).tobytes()) for r in held]
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([pack] * len(held), pa.int64()), pa.array(blobs, pa.binary()), pa.array(marks, pa.binary())], names=["range", "pack", "hashes", "marks"])
+                h, g, _ = window_hashes(unpack(lengths, texts), window)
+                order, new = ordered(h, g)
+                first = np.flatnonzero(new)
+                many = np.diff(np.append(first, len(h))) > 1
+                h, g = h[order[first]], g[order[first]]
+                held, at = cuts(h, ranges)
+                spans = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+                for i in range(0, len(held), 4096):
+                    part = spans[i : i + 4096]
+                    blobs = [to_blob(h[lo:hi], g[lo:hi]) for lo, hi in part]
+                    marks = [squeeze(np.packbits(many[lo:hi]).tobytes()) for lo, hi in part]
+                    yield pa.RecordBatch.from_arrays([pa.array(held[i : i + 4096]), pa.array([pack] * len(part), pa.int64()), pa.array(blobs, pa.binary()), pa.array(marks, pa.binary())], names=["range", "pack", "hashes", "marks"])
 
     return run
 
@@ -151,21 +163,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(rows: list, of: int) -> pa.RecordBatch:
         parts = [from_blob(r[1]) for r in rows]
-        values = np.concatenate(parts)
-        ends = np.cumsum([len(p) for p in parts])
-        own = np.concatenate([np.unpackbits(np.frombuffer(spread(r[2]), np.uint8), count=len(p)) for r, p in zip(rows, parts, strict=True)]).astype(bool)
+        ends = np.cumsum([len(h) for h, _ in parts])
+        own = np.concatenate([np.unpackbits(np.frombuffer(spread(r[2]), np.uint8), count=len(h)) for r, (h, _) in zip(rows, parts, strict=True)]).astype(bool)
+        h, g = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        order = np.argsort(values, kind="stable")
-        values = values[order]
-        same = values[1:] == values[:-1]
-        repeated = np.zeros(len(values), bool)
-        repeated[1:] |= same
-        repeated[:-1] |= same
-        back = np.empty_like(repeated)
-        back[order] = repeated
+        order, new = ordered(h, g)
+        # a value comes again if it isn't new or the next one isn't
+        again = ~new
+        again[:-1] |= ~new[1:]
+        back = np.empty_like(again)
+        back[order] = again
         back |= own
         bitmaps = [squeeze(np.packbits(x).tobytes()) if x.any() else b"" for x in np.split(back, ends[:-1])]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([of] * len(rows), pa.int32()), pa.array(bitmaps, pa.binary())], names=["pack", "range", "bitmap"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([of] * len(rows), pa.int64()), pa.array(bitmaps, pa.binary())], names=["pack", "range", "bitmap"])
 
     now, rows = None, []
     for b in batches:
@@ -189,22 +199,21 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
 
 def _mark(window: int, ranges: int, texts_out: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for b in batches:
             for ids, lengths, texts, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = unpack(lengths, texts)
-                hashes, starts = window_hashes(words, window, cache)
                 n = sum(map(len, words))
                 gone = np.zeros(n, bool)
                 if found:
-                    values, back = np.unique(hashes, return_inverse=True)
-                    at = cuts(values, ranges)
-                    repeated = np.zeros(len(values), bool)
+                    h, g, starts = window_hashes(words, window)
+                    order, new = ordered(h, g)
+                    held, at = cuts(h[order[new]], ranges)
+                    spans = dict(zip(held.tolist(), zip(at[:-1].tolist(), at[1:].tolist(), strict=True), strict=True))
+                    repeated = np.zeros(at[-1], bool)
                     for f in found:
-                        if f["bitmap"]:
-                            lo, hi = at[f["range"]], at[f["range"] + 1]
-                            repeated[lo:hi] = np.unpackbits(np.frombuffer(spread(f["bitmap"]), np.uint8), count=hi - lo)
-                    gone = covered(n, starts[repeated[back]], window)
+                        lo, hi = spans[f["range"]]
+                        repeated[lo:hi] = np.unpackbits(np.frombuffer(spread(f["bitmap"]), np.uint8), count=hi - lo)
+                    gone = covered(n, starts[order[repeated[np.cumsum(new) - 1]]], window)
                 rows, begin = [], 0
                 for own in words:
                     flags = gone[begin : begin + len(own)]
@@ -223,18 +232,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts_out: bool = True
     window, in any row or elsewhere in its own; all is judged on the input. kept holds the
     other words, joined by one space, or with texts_out=False their SHA-256. Null, empty
     and shorter texts have no windows and lose nothing (null gives no words). Rows that are
-    repeated repeat each other's windows. Windows are held equal if their 64-bit hashes
-    are: n windows give a false match with odds n*n/2**65. An empty table gives no rows;
-    other columns are ignored; null ids stay null.
+    repeated repeat each other's windows. Windows are held equal if both hashes are, 88 bits:
+    n windows give a false match with odds n*n/2**89, 1e-7 for 30 GB of text and 1e-4 for
+    1 TB. An empty table gives no rows; other columns are ignored; null ids stay null.
     """
     prepare(docs.sparkSession)
-    packed = pick(docs, "doc_id", "text").mapInArrow(_pack, "ids array<long>, lengths binary, texts binary, n_words long")
+    packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack, "ids array<long>, lengths binary, texts binary, n_words long")
     packs = stored(packed.withColumn("pack", F.monotonically_increasing_id()), "packs")
     total = packs.agg(F.sum("n_words")).first()[0] or 0
     ranges = max(1, math.ceil(total / RANGE_WINDOWS))
-    sent = packs.select("pack", "lengths", "texts").mapInArrow(_send(window, ranges), "range int, pack long, hashes binary, marks binary")
+    sent = packs.select("pack", "lengths", "texts").mapInArrow(_send(window, ranges), "range long, pack long, hashes binary, marks binary")
     split = sent.repartition(ranges, "range").sortWithinPartitions("range", "pack")
-    found = split.mapInArrow(_count, "pack long, range int, bitmap binary").where(F.length("bitmap") > 0)
+    found = split.mapInArrow(_count, "pack long, range long, bitmap binary").where(F.length("bitmap") > 0)
     by_pack = found.groupBy("pack").agg(F.collect_list(F.struct("range", "bitmap")).alias("found")).withColumnRenamed("pack", "k")
     joined = packs.join(by_pack, F.col("pack") == F.col("k"), "left").select("ids", "lengths", "texts", "found")
     return joined.mapInArrow(_mark(window, ranges, texts_out), "doc_id long, n_words long, n_removed long, kept string")

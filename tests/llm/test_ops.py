@@ -78,6 +78,12 @@ class TestTexts:
         got = substrings.digests(docs_of(spark, rows))
         assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.repeats(pairs(rows)), key=repr)
 
+    def test_substrings_in_many_packs_and_ranges(self, spark, rows, monkeypatch):
+        monkeypatch.setattr(substrings, "PACK_BYTES", 4000)
+        monkeypatch.setattr(substrings, "RANGE_WINDOWS", 40)
+        got = substrings.digests(docs_of(spark, rows))
+        assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.repeats(pairs(rows)), key=repr)
+
     def test_pieces(self, spark, rows):
         import sentencepiece
 
@@ -112,6 +118,20 @@ class TestTexts:
         assert words == got.taken.sum()
 
 
+def test_windows_need_both_hashes():
+    h, g = np.array([5, 9, 5, 5, 1], np.uint64), np.array([2, 7, 1, 2, 3], np.uint32)
+    order, new = substrings.ordered(h, g)
+    assert list(zip(h[order].tolist(), g[order].tolist())) == [(1, 3), (5, 1), (5, 2), (5, 2), (9, 7)]
+    assert new.tolist() == [True, True, True, False, True]
+    for n in (1, 3, 1000):
+        a = np.sort(np.random.default_rng(n).integers(0, 1 << 64, n, dtype=np.uint64))
+        c = np.random.default_rng(n).integers(0, 1 << 24, n).astype(np.uint32)
+        back = substrings.from_blob(substrings.to_blob(a, c))
+        assert (back[0] == a).all() and (back[1] == c).all()
+        held, at = substrings.cuts(a, 177)
+        assert at[-1] == n and (np.diff(at) > 0).all() and held.max() < 177 and (np.diff(held) > 0).all()
+
+
 def targets_by_hand(sizes):
     """sizes by source, None last -> targets, by resharing one round at a time."""
     order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
