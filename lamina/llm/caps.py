@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, stored
+from .common import hot_join, parallelism, stored
 from .components import connected_components
 from .vectors import as_bytes, element, matrix, unit
 
@@ -244,10 +244,10 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     counts = found.where("count is not null").groupBy("cid").agg(F.sum("count").alias("links"))
     label = connected_components(found.where("to is not null").select(F.col("cid").alias("u"), F.col("to").alias("v")))
     joined = classes.select("key", "cid", "least", "n").join(counts, "cid", "left").join(label, F.col("cid") == F.col("node"), "left")
-    joined = stored(joined.select("key", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("label", "cid").alias("label")), "joined")
+    joined = stored(joined.select("key", "least", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("label", "cid").alias("label")), "joined")
     ids = joined.groupBy("label").agg(F.min("least").alias("component"))
-    by_key = joined.join(ids, "label").select(F.col("key").alias("k"), "links", "component")
-    out = rows.select("vec_id", "key").join(by_key, F.col("key") == F.col("k"), "left")
+    by_key = stored(joined.join(ids, "label").select("key", "links", "component", "n"), "by-key")
+    out = hot_join(rows.select("vec_id", "key"), by_key, "key", "n", "left")
     # a class without rows besides, in a component whose ids are all null, has no component
     component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -81,6 +81,11 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(n) for n in names))
 
 
+def quoted(name: str) -> Column:
+    """A top-level column of any name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -102,16 +107,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """left joined with right (one row for each key) on the column `key` of both.
 
     weight: a column of right, about how many rows of left hold the key; it isn't returned.
     Keys with more than one in HOT of all rows, which are fewer than HOT by count, are
     joined on the map side, so a key in a third of all rows is never one task's. how is
-    "inner" or "left"; null keys match nothing. right should be a stored table, as it is
-    read more than once.
+    "inner" or "left"; null keys match nothing. total: the sum of weight, if known. right
+    should be a stored table, as it is read more than once.
     """
-    total = right.agg(F.sum(weight)).first()[0] or 0
+    if total is None:
+        total = right.agg(F.sum(weight)).first()[0] or 0
     hot = F.broadcast(right.where(F.col(weight) * HOT > total).drop(weight).withColumnRenamed(key, "_hot"))
     cold = right.where(F.col(weight) * HOT <= total).drop(weight).withColumnRenamed(key, "_cold")
     names = [c for c in right.columns if c not in (key, weight)]
@@ -120,10 +126,9 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str
     return held.select(*left.columns, *names).unionByName(rest.select(*left.columns, *names))
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    """(key, rows) for each run of rows with equal values in the first `keys` columns, all
-    integers without nulls. Runs cross batches; each is held whole."""
-    now, held = None, []
+def segments(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """(key, rows) for each stretch of rows with equal values in the first `keys` columns, all
+    integers without nulls. A stretch ends with its batch."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -133,11 +138,17 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple,
             change |= c[1:] != c[:-1]
         edges = [0, *(np.flatnonzero(change) + 1).tolist(), b.num_rows]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            key = tuple(int(c[lo]) for c in columns)
-            if key != now and held:
-                yield now, pa.concat_batches(held) if len(held) > 1 else held[0]
-                held = []
-            now = key
-            held.append(b.slice(lo, hi - lo))
+            yield tuple(int(c[lo]) for c in columns), b.slice(lo, hi - lo)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """As segments, but a stretch goes on in the next batches; each is held whole."""
+    now, held = None, []
+    for key, rows in segments(batches, keys):
+        if key != now and held:
+            yield now, pa.concat_batches(held) if len(held) > 1 else held[0]
+            held = []
+        now = key
+        held.append(rows)
     if held:
         yield now, pa.concat_batches(held) if len(held) > 1 else held[0]

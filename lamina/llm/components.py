@@ -3,7 +3,7 @@
 Every round is two aggregations and two joins over an edge table that is written to
 the shared folder; the number of rounds grows with the logarithm of the longest path.
 The least node of a component's star is its label. Stars with very many leaves are
-aggregated before the shuffle and joined with skew handling, never collected.
+aggregated before the shuffle, and joined on the map side, never collected.
 """
 
 from __future__ import annotations
@@ -11,20 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored
+from .common import Stored, hot_join
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return hot_join(both.where("v > u"), low, "u", "n", total=2 * n).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, n: int) -> DataFrame:
     """edges have u > v."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
-    rest = edges.join(low, F.col("u") == F.col("c")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return rest.union(low.select(F.col("c").alias("u"), F.col("m").alias("v")))
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    rest = hot_join(edges, low, "u", "n", total=n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return rest.union(low.select("u", F.col("m").alias("v")))
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -42,8 +42,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = Stored(pairs, "edges")
     mark = _mark(now.df)
     while mark[0]:
-        wide = _large(now.df).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        then = Stored(_small(wide).where("u <> v").distinct(), "edges")
+        wide = _large(now.df, mark[0]).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        then = Stored(_small(wide, mark[0]).where("u <> v").distinct(), "edges")
         now.drop()
         now, last = then, mark
         mark = _mark(now.df)

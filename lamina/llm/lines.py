@@ -4,28 +4,32 @@ State of a `LineStore`: postings (key, doc_id), one row for each long line key t
 document holds; references (key, n_docs, max_doc_id), exact; and for each shard of keys
 a chain of cuckoo filters over the keys that reached the document threshold. Inserting
 documents raises counts, deleting them lowers counts, and a key enters or leaves its
-filter when its count crosses the threshold, so every insertion can be undone. The
-filters only spare the exact table lookups: what they let through is decided by it.
+filter when its count crosses the threshold, so every insertion can be undone.
+
+The number of shards follows the data. To find what documents lose, postings meet their
+shard's filters and references in one task, or in several if a shard has many: the filters
+spare lookups in the exact table, which decides what they let through.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import payloads, pick, prepare, sha256, stored
+from .common import parallelism, payloads, pick, prepare, quoted, segments, sha256, stored
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-SHARDS = 64
-#: Filters of a greater size in all aren't sent to the tasks; every posting then takes the exact way.
-FILTER_BYTES = 64 << 20
+#: Keys in the filters of a shard, and postings that meet them in one task, about.
+SHARD_KEYS, SHARD_ROWS = 20_000, 1_000_000
 SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -150,7 +154,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def postings(docs: DataFrame) -> DataFrame:
     """(doc_id, key): the keys of long lines, each once for a row of docs."""
     prepare(docs.sparkSession)
-    return pick(docs, "doc_id", "text").mapInArrow(_postings, "doc_id long, key binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_postings, "doc_id long, key binary")
 
 
 def references(rows: DataFrame) -> DataFrame:
@@ -159,12 +163,8 @@ def references(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(seen.alias("n_docs"), F.max("doc_id").alias("max_doc_id"))
 
 
-def _hashes(keys: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(k[:8] for k in keys), np.uint64)
-
-
-def _shard(key: bytes) -> int:
-    return key[15] % SHARDS
+def shard_of(shards: int) -> Column:
+    return F.pmod(F.conv(F.hex(F.substring("key", 9, 4)), 16, 10).cast("long"), F.lit(shards)).cast("int")
 
 
 def _update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,48 +190,48 @@ def _update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def update_filters(old: DataFrame | None, changes: DataFrame) -> DataFrame:
+def update_filters(old: DataFrame | None, changes: DataFrame, shards: int) -> DataFrame:
     """(shard, filters) after changes (key, change); old is such a table, None for none."""
-    shard = F.conv(F.substring(F.hex("key"), 31, 2), 16, 10).cast("int") % SHARDS
-    rows = changes.select(shard.alias("shard"), F.col("change").cast("int").alias("change"), F.col("key").alias("data"))
+    rows = changes.select(shard_of(shards).alias("shard"), F.col("change").cast("int").alias("change"), F.col("key").alias("data"))
     if old is not None:
         rows = rows.union(old.select("shard", F.lit(0).alias("change"), F.col("filters").alias("data")))
     first = F.abs("change")
     return rows.repartition("shard").sortWithinPartitions("shard", first, "change", "data").mapInArrow(_update, "shard int, filters binary")
 
 
-def passing(spark: SparkSession, rows: DataFrame, filters: DataFrame) -> DataFrame:
-    """The postings whose key may be in the filters: all that are, and few others."""
-    size = filters.agg(F.sum(F.length("filters"))).first()[0] or 0
-    if size > FILTER_BYTES:
-        return rows
-    blobs = spark.sparkContext.broadcast({r["shard"]: bytes(r["filters"]) for r in filters.collect()})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chains = {s: Chain.load(b) for s, b in blobs.value.items()}
-        for b in batches:
-            keys = b.column(1).to_pylist()
-            if not keys:
-                continue
-            hashes, shards = _hashes(keys), np.array([_shard(k) for k in keys])
-            keep = np.zeros(len(keys), bool)
-            for s, chain in chains.items():
-                own = np.flatnonzero(shards == s)
-                keep[own] = chain.contains(hashes[own])
-            yield b.filter(pa.array(keep))
-
-    return rows.mapInArrow(run, "doc_id long, key binary")
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by part of a shard: its filters (kind 0), its references (1), its postings (2) ->
+    (doc_id, key) of the postings whose lines go."""
+    now, chain, last = None, None, {}
+    for (shard, split, kind), b in segments(batches, 3):
+        if (shard, split) != now:
+            now, chain, last = (shard, split), None, {}
+        if kind == 0:
+            chain = Chain.load(b.column(3)[0].as_py())
+        elif kind == 1:
+            last.update(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True))
+        elif chain is not None:
+            keys = b.column(3)
+            hashes = np.frombuffer(b"".join(keys.to_pylist()), np.uint64)[::2]
+            b = b.filter(pa.array(chain.contains(hashes)))
+            ids, keys = b.column(4).to_pylist(), b.column(3).to_pylist()
+            # a key is there if it is exactly; its largest document, null if all are, keeps its lines
+            gone = [i for i, (d, k) in enumerate(zip(ids, keys, strict=True)) if k in last and last[k] is not None and (d is None or d < last[k])]
+            if gone:
+                yield pa.RecordBatch.from_arrays([b.column(4), b.column(3)], names=["doc_id", "key"]).take(pa.array(gone))
 
 
 class LineStore:
     """The state over some documents. `insert` and `delete` return the state after them."""
 
-    def __init__(self, spark: SparkSession, rows: DataFrame | None = None, refs: DataFrame | None = None, filters: DataFrame | None = None, min_docs: int = MIN_DOCS):
-        self.spark, self.rows, self.refs, self.filters, self.min_docs = spark, rows, refs, filters, min_docs
+    def __init__(self, spark: SparkSession, rows: DataFrame | None = None, refs: DataFrame | None = None, filters: DataFrame | None = None, shards: int = 1, min_docs: int = MIN_DOCS):
+        self.spark, self.rows, self.refs, self.filters, self.shards, self.min_docs = spark, rows, refs, filters, shards, min_docs
 
     def insert(self, docs: DataFrame) -> LineStore:
-        """docs must not hold a doc_id that the state has."""
+        """docs must not hold a doc_id that has lines in the state: that is an error."""
         new = stored(postings(docs), "postings")
+        if self.rows is not None and not new.join(self.rows, new["doc_id"].eqNullSafe(self.rows["doc_id"]), "left_semi").isEmpty():
+            raise ValueError("documents with these ids are in the state; delete them first")
         return self._changed(new, new if self.rows is None else self.rows.union(new))
 
     def delete(self, docs: DataFrame) -> LineStore:
@@ -242,25 +242,43 @@ class LineStore:
         return self._changed(touched, stored(self.rows.join(gone, match, "left_anti"), "postings"))
 
     def _changed(self, touched: DataFrame, rows: DataFrame) -> LineStore:
+        hot = lambda df: df.where(F.col("n_docs") >= self.min_docs).select("key")
         if self.refs is None:
             refs = stored(references(rows), "references")
-            changes = refs.where(F.col("n_docs") >= self.min_docs).select("key", F.lit(1).alias("change"))
         else:
             keys = touched.select("key").distinct()
             now = references(rows.join(keys, "key", "left_semi")).withColumn("new", F.lit(True))
             refs = stored(self.refs.join(keys, "key", "left_anti").withColumn("new", F.lit(False)).unionByName(now), "references")
-            hot = lambda df: df.where(F.col("n_docs") >= self.min_docs).select("key")
+        n_rows, n_hot = refs.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.count(F.when(F.col("n_docs") >= self.min_docs, 1))).first()
+        least = max(n_hot / SHARD_KEYS, n_rows / SHARD_ROWS, 1)
+        shards, old = self.shards, self.filters
+        if old is None or not shards / 4 <= least <= 2 * shards:
+            # the shards no longer fit the data: their filters are built anew
+            shards, old = 1 << math.ceil(math.log2(least)), None
+            changes = hot(refs).select("key", F.lit(1).alias("change"))
+        else:
             before, after = hot(self.refs.join(keys, "key", "left_semi")), hot(refs.where("new"))
             changes = after.join(before, "key", "left_anti").select("key", F.lit(1).alias("change")).union(before.join(after, "key", "left_anti").select("key", F.lit(-1).alias("change")))
-            refs = refs.drop("new")
-        filters = stored(update_filters(self.filters, changes), "filters")
-        return LineStore(self.spark, rows, refs, filters, self.min_docs)
+        filters = stored(update_filters(old, changes, shards), "filters")
+        return LineStore(self.spark, rows, refs.drop("new"), filters, shards, self.min_docs)
 
     def drops(self) -> DataFrame:
         """(doc_id, keys): keys whose lines a document loses."""
-        hot = self.refs.where(F.col("n_docs") >= self.min_docs).select("key", "max_doc_id")
-        found = passing(self.spark, self.rows.select("doc_id", "key"), self.filters).join(hot, "key").where("doc_id is null or doc_id < max_doc_id")
-        return found.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+        shard = shard_of(self.shards).alias("shard")
+        hot = self.refs.where(F.col("n_docs") >= self.min_docs).select(shard, "key", F.col("max_doc_id").alias("doc_id"), "n_docs")
+        # a shard whose keys have very many postings is split by documents
+        loads = hot.groupBy("shard").agg(F.sum("n_docs").alias("n")).where(F.col("n") > SHARD_ROWS)
+        loads = stored(loads.select(F.col("shard").alias("s"), F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("splits")), "loads")
+        parts = lambda df: df.join(loads, F.col("shard") == F.col("s"), "left").withColumn("splits", F.coalesce("splits", F.lit(1)))
+        each = F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split")
+        none = F.lit(None).cast("long").alias("doc_id")
+        filters = parts(self.filters).select("shard", each, F.lit(0).alias("kind"), F.col("filters").alias("key"), none)
+        exact = parts(hot).select("shard", each, F.lit(1).alias("kind"), "key", "doc_id")
+        own = F.pmod(F.xxhash64("doc_id"), "splits").cast("int").alias("split")
+        rows = parts(self.rows.select(shard, "key", "doc_id")).select("shard", own, F.lit(2).alias("kind"), "key", "doc_id")
+        order = ["shard", "split"]
+        both = filters.union(exact).union(rows).repartition(parallelism(self.spark), *order).sortWithinPartitions(*order, "kind")
+        return both.mapInArrow(_probe, "doc_id long, key binary").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
 def _kept(text: bytes, keys: list[bytes] | None) -> tuple[int, int, bytes]:
@@ -300,14 +318,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     repeat a doc_id are one document and are treated alike; null is one document, smaller
     than all. Texts that lose every line become empty. An empty table gives no rows.
     """
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    whole = F.struct(*(quoted(c) for c in docs.columns)).alias("row")
     joined = _with_drops(docs, [whole, F.col("doc_id"), F.col("text")])
-    kind = joined.schema["row"].dataType.simpleString()
-    out = joined.select("row", "text", "keys").mapInArrow(_rewrite, f"row {kind}, kept string, n_lines long, n_dropped long")
-    return out.select(*(F.when(F.col("row.text").isNotNull(), F.col("kept")).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    kind = T.StructType([joined.schema["row"], T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    out = joined.select("row", "text", "keys").mapInArrow(_rewrite, kind)
+    return out.select(*(F.when(F.col("row.text").isNotNull(), F.col("kept")).alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) of each row of docs, by dedup_lines' rules;
     a null text counts as empty."""
-    return _with_drops(docs, [F.col("doc_id"), F.col("text")]).select("doc_id", "text", "keys").mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return _with_drops(docs, [F.col("doc_id").cast("long"), F.col("text")]).select("doc_id", "text", "keys").mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, stored, word_count
+from .common import quoted, stored, Stored, word_count
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
@@ -144,6 +144,6 @@ def mix_sizes(docs: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs as often as mix_sizes takes them, with all their columns."""
     _, sources, few = plan(docs)
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("source"), doc_hash(F.col("doc_id")).alias("hash"))
+    whole = docs.select(F.struct(*(quoted(c) for c in docs.columns)).alias("row"), F.col("source"), doc_hash(F.col("doc_id")).alias("hash"))
     joined = _join(whole, sources, few).select("row", _copies().alias("copies")).where("copies > 0")
-    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

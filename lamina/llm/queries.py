@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 from collections.abc import Callable
 
@@ -10,8 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from . import caps, forest, lines, mixing, pieces, secrets, simhash, substrings, toxicity, warc
 from .common import table
 
-#: SentencePiece model; its path is a parameter of the environment.
-PIECES = os.environ.get("LAMINA_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file: in the folder that LAMINA_TOKENIZERS names, else in
+    the package that ships them, else where they lie on this kind of machine."""
+    folder = os.environ.get("LAMINA_TOKENIZERS")
+    if folder is None and importlib.util.find_spec("public_tokenizers"):
+        import public_tokenizers
+
+        return public_tokenizers.path(name)
+    return os.path.join(folder or "/opt/tokenizers", name)
+
+
+#: SentencePiece model.
+PIECES = tokenizer("piece_bpe_32k.model")
 
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"

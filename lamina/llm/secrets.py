@@ -2,8 +2,8 @@
 
 One pass over the texts finds candidates: the three base kinds, and further shapes of
 credentials. Candidate values travel as hashes. Counted by distinct repositories and
-owners over the whole corpus, a value held by several owners is a copied example; one
-held by a single owner, with the look of a random string, is a live-looking credential.
+owners over the whole corpus, a value held by many owners or in many repositories is a widely copied example;
+one of few owners, with the look of a random string, is a live-looking credential.
 """
 
 from __future__ import annotations
@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, prepare, sha256, stored
+from .common import hot_join, prepare, sha256, stored
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 HEX_RUN = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "github", "slack", "stripe", "google", "jwt", "pem", "opaque")
-#: Shapes that the method adds; they count as spans only while one owner holds the value.
+#: Shapes that the method adds; they count as spans unless the value is widely copied.
 ADDED = (
     ("github", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")),
     ("slack", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")),
@@ -33,12 +33,12 @@ ADDED = (
     ("google", re.compile(r"AIza[A-Za-z0-9_-]{35}")),
     ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
     ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,}")),
-    ("opaque", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,128}(?![A-Za-z0-9+/_-])")),
+    ("opaque", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}(?![A-Za-z0-9+/_-])")),
 )
 #: Bits a character that a value needs to look random.
 MIN_ENTROPY = 3.0
-#: A value with more owners than this is a widely copied example.
-MAX_OWNERS = 1
+#: A value with more owners, or in more repositories, than this is a widely copied example.
+MAX_OWNERS, MAX_REPOSITORIES = 2, 20
 
 CANDIDATE = "struct<start:int,end:int,kind:int,base:boolean,value:binary,random:boolean>"
 
@@ -91,19 +91,24 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(found, pa.list_(kind))], names=["doc_id", "owner", "repository", "found"])
 
 
+def copied(row: dict) -> bool:
+    """Is a candidate's value a widely copied example?"""
+    return row["owners"] > MAX_OWNERS or row["repositories"] > MAX_REPOSITORIES
+
+
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[list] = [[] for _ in range(8)]
         for rows in b.column(1).to_pylist():
             rows = rows or []
             base = [(r["start"], r["end"], r["kind"]) for r in rows if r["base"]]
-            extra = [(r["start"], r["end"], r["kind"]) for r in rows if not r["base"] and r["owners"] <= MAX_OWNERS]
+            extra = [(r["start"], r["end"], r["kind"]) for r in rows if not r["base"] and not copied(r)]
             for k in range(3):
                 out[k].append(sum(x[2] == k for x in base))
             out[3].append(sha256(joined(base).encode()))
             out[4].append(joined(base + extra))
-            out[5].append(sum(r["owners"] <= MAX_OWNERS and r["random"] for r in rows))
-            out[6].append(sum(r["owners"] > MAX_OWNERS for r in rows))
+            out[5].append(sum(not copied(r) and r["random"] for r in rows))
+            out[6].append(sum(map(copied, rows)))
             out[7].append(max((r["repositories"] for r in rows), default=0))
         kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 3
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names=["doc_id", *REPORT])
@@ -113,16 +118,16 @@ REPORT = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """(value, owners, repositories) from candidates (value, owner, repository): distinct
-    holders of each value. Both counts pre-aggregate before they shuffle, so a value in a
+    """(value, owners, repositories, n) from candidates (value, owner, repository): distinct
+    holders of each value, and its rows. Both counts pre-aggregate before they shuffle, so a value in a
     third of all rows reaches one task as one row for each holder and map task at most."""
-    per = candidates.groupBy("value", "owner").agg(F.count_distinct("repository").alias("r"))
-    return per.groupBy("value").agg(F.count("*").alias("owners"), F.sum("r").alias("repositories"))
+    per = candidates.groupBy("value", "owner").agg(F.count_distinct("repository").alias("r"), F.count("*").alias("n"))
+    return per.groupBy("value").agg(F.count("*").alias("owners"), F.sum("r").alias("repositories"), F.sum("n").alias("n"))
 
 
 def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """Secrets of each row of docs: base counts and digest, all spans, and how many values
-    look live (one owner, random look) or copied (more owners).
+    look live (few owners and repositories, random look) or copied (more of either).
 
     `owner` names the owner's column and `repository` the repository's. A null text is
     empty; an empty one gives zeros, the digest of nothing and no spans. A null owner is
@@ -131,11 +136,11 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     """
     prepare(docs.sparkSession)
     named = F.coalesce(F.concat(F.lit("="), F.col(owner).cast("string")), F.lit("null"))
-    rows = docs.select(F.col("doc_id"), F.col("text"), named.alias("owner"), F.col(repository).cast("string").alias("repository"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"), named.alias("owner"), F.col(repository).cast("string").alias("repository"))
     found = rows.mapInArrow(_scan, f"doc_id long, owner string, repository string, found array<{CANDIDATE}>")
     held = stored(found.withColumn("row", F.monotonically_increasing_id()), "secrets")
     each = held.where(F.size("found") > 0).select("row", "owner", "repository", F.inline("found"))
-    counts = ownership(each.select("value", "owner", "repository"))
-    seen = each.join(counts, "value").groupBy("row").agg(F.collect_list(F.struct("start", "end", "kind", "base", "random", "owners", "repositories")).alias("seen"))
+    counts = stored(ownership(each.select("value", "owner", "repository")), "owners")
+    seen = hot_join(each, counts, "value", "n").groupBy("row").agg(F.collect_list(F.struct("start", "end", "kind", "base", "random", "owners", "repositories")).alias("seen"))
     full = held.select("row", "doc_id").join(seen.withColumnRenamed("row", "k"), F.col("row") == F.col("k"), "left").select("doc_id", "seen")
     return full.mapInArrow(_report, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_live long, n_copied long, max_repositories long")

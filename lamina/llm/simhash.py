@@ -19,8 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import payloads, pick, prepare, stored
+from .common import hot_join, payloads, prepare, quoted, stored
 from .components import connected_components
 
 RADIUS = 3
@@ -70,7 +71,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of each row of docs, in its order and number."""
     prepare(docs.sparkSession)
-    return pick(docs, "doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def with_pivots(fps: DataFrame) -> DataFrame:
@@ -111,13 +112,14 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def classes(held: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(k, label, component_id) for each distinct fingerprint k of held (doc_id, fp)."""
-    each = stored(held.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
+    """(fp, label, component_id, n) for each distinct fingerprint of held (doc_id, fp), which
+    n rows have."""
+    each = stored(held.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fps")
     label = connected_components(links(each.select("fp"), radius))
-    joined = each.join(label, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    joined = each.join(label, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("label", "fp").alias("label"))
     joined = stored(joined, "labels")
     ids = joined.groupBy("label").agg(F.min("least").alias("component_id"))
-    return joined.select("fp", "label").join(ids, "label").select(F.col("fp").alias("k"), "label", "component_id")
+    return stored(joined.select("fp", "label", "n").join(ids, "label").select("fp", "label", "component_id", "n"), "classes")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -130,26 +132,27 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows. Other columns of docs are ignored.
     """
     held = stored(fingerprints(docs), "simhash")
-    return held.join(classes(held, radius), F.col("fp") == F.col("k")).select("doc_id", "fp", "component_id")
+    return hot_join(held, classes(held, radius), "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, all columns, without near-duplicates: of each component the row
-    with the smallest doc_id stays (null ids last; of equal ones, any single row)."""
+    with the smallest doc_id stays (null ids last; of equal ones, any single row). Null and
+    empty texts are near-duplicates of each other; an empty table gives no rows."""
     prepare(docs.sparkSession)
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
+    whole = docs.select(F.struct(*(quoted(c) for c in docs.columns)).alias("row"), F.col("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t) for t in payloads(b.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["row", "fp"])
 
-    kind = whole.schema["row"].dataType.simpleString()
-    held = stored(whole.mapInArrow(run, f"row {kind}, fp long").withColumn("at", F.monotonically_increasing_id()), "rows")
-    narrow = held.select(F.col("row.doc_id").alias("doc_id"), "fp", "at")
-    labels = narrow.join(classes(narrow, radius), F.col("fp") == F.col("k"))
+    kind = T.StructType([whole.schema["row"], T.StructField("fp", T.LongType())])
+    held = stored(whole.mapInArrow(run, kind).withColumn("at", F.monotonically_increasing_id()), "rows")
+    narrow = held.select(F.col("row.doc_id").cast("long").alias("doc_id"), "fp", "at")
+    labels = hot_join(narrow, classes(narrow, radius), "fp", "n")
     first = labels.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("at"))).alias("m")).select(F.col("m.at").alias("chosen"))
-    return held.join(first, F.col("at") == F.col("chosen"), "left_semi").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return held.join(first, F.col("at") == F.col("chosen"), "left_semi").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -178,11 +178,20 @@ class Member:
         self.data, self.end = b"".join(parts), at + read - len(z.unused_data)
 
 
+DAMAGED = {"page_id": None, "record_type": "damaged", "refers_to": None, "payload_bytes": None, "payload_digest": None, "url": None}
+
+
 def records(file: pa.NativeFile, start: int, end: int, size: int) -> Iterator[dict]:
-    """Rows of the records that start in [start, end) of a file of that size.
+    """Rows of the records that start in [start, end) of a file of that size, without damaged ones."""
+    return (r for r in members(file, start, end, size) if r is not DAMAGED)
+
+
+def members(file: pa.NativeFile, start: int, end: int, size: int) -> Iterator[dict]:
+    """Rows of the members that start in [start, end) of a file of that size.
 
     Once a member is found, the next begins where it ends; only if nothing valid begins
-    there, or a member is damaged, is the magic looked for again.
+    there, or a member is damaged, is the magic looked for again. A damaged member, one that
+    begins like a record but can't be read whole, is a row too, of the type "damaged".
     """
     at, known = start, False
     while at < end:
@@ -206,10 +215,12 @@ def records(file: pa.NativeFile, start: int, end: int, size: int) -> Iterator[di
             member = Member(file, at, size)
             if not member.data.startswith(b"WARC/1."):
                 raise ValueError("not a record")
-        except (zlib.error, EOFError, ValueError):
+            row = parse(member.data)
+        except (zlib.error, EOFError, ValueError, KeyError):
+            yield DAMAGED
             at, known = at + 1, False
             continue
-        yield parse(member.data)
+        yield row
         at, known = member.end, True
         if at < end:
             file.seek(at)
@@ -221,7 +232,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, size, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
             fs, name = filesystem(path)
             with fs.open_input_file(name) as file:
-                rows = list(records(file, start, min(size, start + SPLIT_BYTES), size))
+                rows = list(members(file, start, min(size, start + SPLIT_BYTES), size))
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
 
@@ -230,7 +241,9 @@ SCHEMA = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("ref
 
 
 def read_archives(files: DataFrame) -> DataFrame:
-    """A row for each record of the archives in files (path, size)."""
+    """A row for each record of the archives in files (path, size), and one of the type
+    "damaged", otherwise null, for each member that begins like a record but can't be read.
+    Files of null or no bytes, and an empty table, give no rows; repeated files are each read."""
     spark = files.sparkSession
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(SPLIT_BYTES).cast("long")))
     splits = files.where("size > 0").select("path", "size", starts.alias("start"))
@@ -246,6 +259,8 @@ def archive_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes pages to archives in the shared folder and reads them back."""
+    """Writes pages to archives in the shared folder and reads them back: (page_id,
+    payload_bytes, payload_digest, record_type, refers_to) of each record, by the rules of
+    write_archives. Columns besides page_id, url and html are ignored."""
     files = write_archives(pages, scratch_path(pages.sparkSession, "warc"))
     return read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
