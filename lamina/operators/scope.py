@@ -3,18 +3,26 @@
 A scope is a DataFrame of visits: (rec_id, ord, pre, end, depth), one row for each visited
 object, ord its place among the visits of its record. All joins are on rec_id, with
 interval containment besides.
+
+A record never leaves its task: `extract` parses it once and gives visits and selectors'
+values from the same pass, without a shuffle. The joins serve node tables that are stored,
+or conditions that compare visits of several scopes.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import between, slice_range
+from ..sources.markup import VOID, Tree, tree_of
 
 VISIT = ("rec_id", "ord", "pre", "end", "depth")
 
@@ -133,15 +141,18 @@ def _array(s: Selector, items: Column) -> Column:
         out = F.array(F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.octet_length(x), F.lit(0))).cast("string"))
     else:
         out = F.filter(v, lambda x: x.isNotNull() & (x != ""))
-    if not (s.low or s.high or s.after or s.before):
-        return out
+    return out if _plain(s) else ranged(s, out)
+
+
+def ranged(s: Selector, values: Column) -> Column:
+    """Values cut by the selector's range; what it doesn't fit goes."""
 
     def cut(x: Column) -> Column:
         if s.after or s.before:
             return between(x, s.after or None, s.before or None)
         return slice_range(x, F.lit(int(s.low or 1)), F.lit(int(s.high)) if s.high else F.length(x))
 
-    return F.filter(F.transform(out, lambda x: cut(x)), lambda x: x.isNotNull())
+    return F.filter(F.transform(values, lambda x: cut(x)), lambda x: x.isNotNull())
 
 
 def columns(nodes: DataFrame, scope: DataFrame, **selectors: str) -> DataFrame:
@@ -184,3 +195,125 @@ def synopsis(nodes: DataFrame, sep: str = "/", leaves_only: bool = False) -> Dat
     chain = held.join(up, (F.col("rec_id") == F.col("r")) & F.col("pre").between(F.col("a_pre"), F.col("a_end")))
     path = chain.groupBy("rec_id", "pre").agg(F.array_sort(F.collect_list(F.struct("a_depth", "a_name"))).alias("p"))
     return path.groupBy(F.array_join(F.transform("p", lambda x: x["a_name"]), sep).alias("path")).agg(F.count("*").alias("count"))
+
+
+def name_test(name: str, parent: str = "") -> Callable[[Tree, int], bool]:
+    """As `named`, of an element of a tree."""
+    if name in ("*", ""):
+        own = lambda n: True
+    elif name.startswith(":"):
+        own = lambda n: n.endswith(name)
+    else:
+        own = lambda n: n == name
+    if not parent:
+        return lambda t, i: own(t.names[i])
+    return lambda t, i: t.parents[i] >= 0 and t.names[t.parents[i]] == parent and own(t.names[i])
+
+
+def found(t: Tree, low: int, high: int, test: Callable[[Tree, int], bool], nested: bool = False) -> list[int]:
+    """Elements of [low, high] that pass, without those inside others unless nested."""
+    out, i = [], low
+    while i <= high:
+        if test(t, i):
+            out.append(i)
+            if not nested:
+                i = t.ends[i]
+        i += 1
+    return out
+
+
+def visits(t: Tree, at: int, path: str) -> list[int]:
+    """The elements that a scope command visits inside one; rules as for `visit`."""
+    if path == "*":
+        return [at]
+    if path.startswith("**/"):
+        return found(t, at, t.ends[at], name_test(path[3:]), True)
+    if path.endswith("/**"):
+        return sorted({i for v in visits(t, at, path[:-3]) for i in range(v + 1, t.ends[v] + 1)})
+    if path.startswith("*/"):
+        return found(t, at + 1, t.ends[at], name_test(path[2:]))
+    if "." in path:
+        first, *rest = path.split(".")
+        held = visits(t, at, first)
+        for name in rest:
+            test = name_test(name)
+            held = [c for v in held for c in t.children(v) if test(t, c)]
+        return held
+    parent, _, name = path.rpartition("/")
+    return found(t, at, t.ends[at], name_test(name, parent), name == "*" and bool(parent))
+
+
+def gathered(t: Tree, at: int, s: Selector) -> list[str]:
+    """A selector's values at or below an element, in document order, before any range."""
+    test = name_test(s.name, s.parent)
+    own = [i for i in range(at, t.ends[at] + 1) if test(t, i)]
+    if s.prefix == "^":
+        return [str(t.depths[at] + 1)] * len(own)
+    if s.prefix == "#":
+        return [str(len(own))]
+    values = [t.attrs[i].get(s.attr) for i in own] if s.attr else [t.contents[i] for i in own]
+    if s.prefix == "%":
+        return [str(sum(len(v.encode()) for v in values if v))]
+    return [v for v in values if v]
+
+
+def _plain(s: Selector) -> bool:
+    return not (s.low or s.high or s.after or s.before)
+
+
+def extract(records: DataFrame, path: str = "", rec_id: str = "rec_id", text: str = "xml", html_void: bool = False, **selectors: str) -> DataFrame:
+    """(rec_id, ord, pre, end, depth, an array of values for each selector): a row for each
+    visit of `path` in a record, of its outermost elements if that is empty.
+
+    Equal to `columns` over `visit` of the node table, in one narrow stage: a record is
+    parsed once, in its own task, and no node is a row. Null texts have no visits.
+    """
+    parsed = {n: [Selector.parse(p) for p in v.split(",")] for n, v in selectors.items()}
+    void = VOID if html_void else frozenset()
+    every = list(dict.fromkeys(s for p in parsed.values() for s in p))
+    lists = pa.list_(pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, places, out = [], [[], [], [], []], [[] for _ in every]
+            for r, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if x is None:
+                    continue
+                t = tree_of(x, void)
+                tops = [i for i, d in enumerate(t.depths) if not d]
+                held = tops if path in ("", "*") else sorted({i for v in tops for i in visits(t, v, path)})
+                for n, i in enumerate(held, 1):
+                    ids.append(r)
+                    for c, v in zip(places, (n, i, t.ends[i], t.depths[i]), strict=True):
+                        c.append(v)
+                    for c, s in zip(out, every, strict=True):
+                        c.append(gathered(t, i, s))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.int32()) for c in places), *(pa.array(c, lists) for c in out)], names=[*VISIT, *(f"_{i}" for i in range(len(every)))])
+
+    schema = "rec_id long, ord int, pre int, end int, depth int" + "".join(f", _{i} array<string>" for i in range(len(every)))
+    got = records.select(F.col(rec_id).cast("long").alias("rec_id"), F.col(text).alias("xml")).mapInArrow(run, schema)
+    value = lambda s: F.col(f"_{every.index(s)}") if _plain(s) else ranged(s, F.col(f"_{every.index(s)}"))
+    return got.select(*VISIT, *(F.concat(*map(value, p)).alias(n) for n, p in parsed.items()))
+
+
+def paths(records: DataFrame, sep: str = "/", leaves_only: bool = False, rec_id: str = "rec_id", text: str = "xml", html_void: bool = False) -> DataFrame:
+    """(path, count), as `synopsis`: paths are told while parsing and counted in each batch
+    before they are shuffled."""
+    void = VOID if html_void else frozenset()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter[str] = Counter()
+            for x in b.column(0).to_pylist():
+                if x is None:
+                    continue
+                t = tree_of(x, void)
+                full: list[str] = []
+                for i, (name, up) in enumerate(zip(t.names, t.parents, strict=True)):
+                    full.append(f"{full[up]}{sep}{name}" if up >= 0 else name)
+                    if not leaves_only or t.ends[i] == i:
+                        seen[full[i]] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["path", "n"])
+
+    got = records.select(F.col(text).alias("xml")).mapInArrow(run, "path string, n long")
+    return got.groupBy("path").agg(F.sum("n").alias("count"))

@@ -32,25 +32,21 @@ _J = "orders JOIN lineitem ON o_orderkey = l_orderkey"
 @query(f"""SELECT o_orderkey AS rec_id, o_orderstatus AS status, o_orderpriority AS priority, string_agg(l_partkey::VARCHAR, '|' ORDER BY l_linenumber, l_partkey::VARCHAR || '<', l_returnflag, l_quantity::BIGINT::VARCHAR || '<') AS parts,
   count(*)::VARCHAR AS n FROM {_J} GROUP BY 1, 2, 3""")
 def xml_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = order_nodes(spark, sf_dir)
-    got = S.columns(nodes, S.whole(nodes), status="Order@status", priority="Priority", parts="Line/Part", n="#Line")
+    got = S.extract(order_records(spark, sf_dir), status="Order@status", priority="Priority", parts="Line/Part", n="#Line")
     return got.select("rec_id", V.first(F.col("status")).alias("status"), V.first(F.col("priority")).alias("priority"), V.element(F.col("parts"), "|").alias("parts"), V.first(F.col("n")).alias("n"))
 
 
 @query(f"""SELECT o_orderkey AS rec_id, l_linenumber::VARCHAR AS n, l_partkey::VARCHAR AS part, l_returnflag AS flag FROM {_J}""")
 def xml_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each visit of a nested loop."""
-    nodes = order_nodes(spark, sf_dir)
-    block = S.visit(nodes, S.whole(nodes), "Lines/Line")
-    got = S.columns(nodes, block, n="@n", part="Part", flag="Flag")
+    got = S.extract(order_records(spark, sf_dir), "Lines/Line", n="@n", part="Part", flag="Flag")
     return got.select("rec_id", F.element_at("n", 1).alias("n"), F.element_at("part", 1).alias("part"), F.element_at("flag", 1).alias("flag"))
 
 
 @query(f"""SELECT o_orderkey AS rec_id, sum(l_quantity::BIGINT)::BIGINT AS qty FROM {_J} WHERE l_returnflag = 'R' GROUP BY 1""")
 def xml_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks kept by a condition, their values summed by record."""
-    nodes = order_nodes(spark, sf_dir)
-    block = S.columns(nodes, S.visit(nodes, S.whole(nodes), "Line"), flag="Flag", qty="Qty")
+    block = S.extract(order_records(spark, sf_dir), "Line", flag="Flag", qty="Qty")
     kept = block.where(V.equals(F.col("flag"), "r")).groupBy("rec_id").agg(F.flatten(F.collect_list("qty")).alias("q"))
     return kept.select("rec_id", V.total(F.col("q")).alias("qty"))
 
@@ -58,7 +54,7 @@ def xml_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT path, count(*) AS count FROM (SELECT unnest(['Order', 'Order/Priority', 'Order/Lines']) AS path FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
 UNION ALL SELECT unnest(['Order/Lines/Line', 'Order/Lines/Line/Part', 'Order/Lines/Line/Flag', 'Order/Lines/Line/Qty']) FROM {_J}) GROUP BY 1""")
 def xml_synopsis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.synopsis(order_nodes(spark, sf_dir))
+    return S.paths(order_records(spark, sf_dir))
 
 
 @query("""SELECT o_orderkey AS rec_id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) AND o_orderstatus = 'O'""")

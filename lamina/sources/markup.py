@@ -12,6 +12,8 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from xml.etree import ElementTree
 
 import pandas as pd
 import pyarrow as pa
@@ -39,7 +41,7 @@ def tokens(text: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
             yield kind, m[kind], None
 
 
-def nodes_of(text: str, void: frozenset[str] = VOID) -> list[dict]:
+def nodes_of(text: str, void: frozenset[str] = VOID, raw: bool = False) -> list[dict]:
     out: list[dict] = []
     open_: list[int] = []
 
@@ -59,28 +61,85 @@ def nodes_of(text: str, void: frozenset[str] = VOID) -> list[dict]:
                     close(i)
                     break
         elif kind in ("text", "cdata") and open_:
-            out[open_[-1]]["contents"].append(html.unescape(value) if kind == "text" else value)
+            out[open_[-1]]["contents"].append(html.unescape(value) if kind == "text" and not raw else value)
     close(0)
     for n in out:
         n["contents"] = " ".join(x for x in (" ".join(c.split()) for c in n["contents"]) if x)
     return out
 
 
+@dataclass
+class Tree:
+    """A record's elements in document order, one list for each property."""
+
+    names: list[str]
+    parents: list[int]
+    ends: list[int]
+    depths: list[int]
+    contents: list[str]
+    attrs: list[dict[str, str]]
+
+    def children(self, i: int) -> list[int]:
+        out, at = [], i + 1
+        while at <= self.ends[i]:
+            out.append(at)
+            at = self.ends[at] + 1
+        return out
+
+
+def _walk(e: ElementTree.Element, parent: int, depth: int, t: Tree) -> None:
+    i = len(t.names)
+    t.names.append(e.tag)
+    t.parents.append(parent)
+    t.depths.append(depth)
+    t.attrs.append(e.attrib)
+    t.ends.append(i)
+    t.contents.append("")
+    parts = e.text.split() if e.text else []
+    for child in e:
+        _walk(child, i, depth + 1, t)
+        if child.tail:
+            parts += child.tail.split()
+    t.contents[i] = " ".join(parts)
+    t.ends[i] = len(t.names) - 1
+
+
+def tree_of(text: str, void: frozenset[str] = frozenset(), raw: bool = False) -> Tree:
+    """The elements of a record. What is well formed and plain goes through the expat
+    parser; comments, declarations, name spaces, void elements and whatever is broken go
+    through the tolerant tokenizer, with equal results. raw keeps entities as they are."""
+    if not raw and not void and "<!" not in text and "<?" not in text and "xmlns" not in text:
+        try:
+            t = Tree([], [], [], [], [], [])
+            _walk(ElementTree.fromstring(text), -1, 0, t)
+            return t
+        except (ElementTree.ParseError, RecursionError, ValueError):
+            pass
+    n = nodes_of(text, void, raw)
+    return Tree(*([x[k] for x in n] for k in ("name", "parent", "end", "depth", "contents", "attrs")))
+
+
 def node_table(records: DataFrame, rec_id: str = "rec_id", text: str = "xml", html_void: bool = False) -> DataFrame:
     """The node table of records (rec_id, text). One narrow stage; null texts have no nodes."""
     void = VOID if html_void else frozenset()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, out = [], []
-            for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = nodes_of(t, void) if t is not None else []
-                ids += [r] * len(own)
-                out += own
+            ids, pre, above = [], [], []
+            all_ = Tree([], [], [], [], [], [])
+            for r, text_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if text_ is None:
+                    continue
+                t = tree_of(text_, void)
+                ids += [r] * len(t.names)
+                pre += range(len(t.names))
+                above += [t.names[i] if i >= 0 else "" for i in t.parents]
+                for k in vars(t):
+                    getattr(all_, k).extend(getattr(t, k))
             data = [pa.array(ids, pa.int64())]
-            data += [pa.array([n[k] for n in out], pa.int32()) for k in ("pre", "end", "depth", "parent")]
-            data += [pa.array([n[k] for n in out], pa.string()) for k in ("name", "parent_name", "contents")]
-            data.append(pa.array([list(n["attrs"].items()) for n in out], pa.map_(pa.string(), pa.string())))
+            data += [pa.array(x, pa.int32()) for x in (pre, all_.ends, all_.depths, all_.parents)]
+            data += [pa.array(x, pa.string()) for x in (all_.names, above, all_.contents)]
+            data.append(pa.array([list(a.items()) for a in all_.attrs], pa.map_(pa.string(), pa.string())))
             yield pa.RecordBatch.from_arrays(data, names=["rec_id", "pre", "end", "depth", "parent", "name", "parent_name", "contents", "attrs"])
 
     return records.select(F.col(rec_id).cast("long").alias("rec_id"), F.col(text).alias("xml")).mapInArrow(run, NODE)
