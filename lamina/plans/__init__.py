@@ -1,3 +1,3 @@
 """Registered queries; importing a module registers its own."""
 
-from . import derived, elements, exploration, relations, search  # noqa: F401
+from . import derived, elements, exploration, programs, relations, search  # noqa: F401
