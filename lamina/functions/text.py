@@ -40,6 +40,17 @@ def pairs(x: Column) -> Column:
     return F.filter(both, lambda p: p.isNotNull())
 
 
+def pairs_and_singles(x: Column) -> Column:
+    """Neighbouring informative words as `pairs`, and informative words that stand alone
+    between stop words, punctuation and the ends."""
+    runs = F.split(F.regexp_replace(F.lower(x), r"[^\p{L}\p{Nd}\s-]", "|"), r"\|")
+    marked = F.flatten(F.transform(runs, lambda r: F.concat(F.filter(F.split(r, BREAK), lambda w: w != ""), F.array(F.lit("")))))
+    w = F.concat(F.array(F.lit("")), F.transform(marked, lambda w: F.when(stop(w), "").otherwise(w)), F.array(F.lit("")))
+    spans = F.zip_with(F.zip_with(w, F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.slice(w, F.lit(3), F.size(w) - 2), lambda p, c: F.struct(p["a"].alias("a"), p["b"].alias("b"), c.alias("c")))
+    one = F.transform(F.filter(spans, lambda s: (s["a"] == "") & (s["b"] != "") & (s["c"] == "")), lambda s: s["b"])
+    return F.concat(pairs(x), one)
+
+
 def reversed_words(x: Column) -> Column:
     return F.reverse(words(x))
 

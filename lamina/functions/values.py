@@ -413,6 +413,18 @@ def resembles(a: Column, c: str) -> Column:
     return any_value(order(a), lambda v: v == F.element_at(order(F.array(F.lit(c))), 1))
 
 
+def is_equal_to(a: Column, b: Column) -> Column:
+    """Some value equals the last value of another element, case aside."""
+    other = last(b)
+    return other.isNotNull() & any_value(a, lambda v: F.upper(v) == F.upper(other))
+
+
+def differs_from(a: Column, b: Column) -> Column:
+    """Some value isn't the last value of another element, case aside."""
+    other = last(b)
+    return other.isNotNull() & any_value(a, lambda v: F.upper(v) != F.upper(other))
+
+
 def compare(a: Column, op: str, right: Column) -> Column:
     """gt ge lt le eq ne between integers; false where either side isn't one."""
     test = {"gt": lambda v, r: v > r, "ge": lambda v, r: v >= r, "lt": lambda v, r: v < r, "le": lambda v, r: v <= r, "eq": lambda v, r: v == r, "ne": lambda v, r: v != r}[op]

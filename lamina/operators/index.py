@@ -20,11 +20,13 @@ def prepared(x: Column) -> Column:
 def paragraph_terms(docs: DataFrame, uid: str, paragraphs: Column, field: str) -> DataFrame:
     """(uid, field, term, pos): every word takes a place; stop words and numbers aren't
     kept. A new paragraph leaves a gap, so phrases don't cross it."""
-    words = F.transform(paragraphs, lambda p: F.filter(F.split(F.regexp_replace(prepared(p), r"[.,:;]+(\s|$)", " "), r"[^a-z0-9.]+"), lambda w: w != ""))
-    # the place where each paragraph begins: rounded up past the one before
-    next_ = lambda s, w: (F.ceil((s + F.size(w) + GAP) / STEP) * STEP).cast("int")
-    begins = F.aggregate(words, F.array(F.lit(0)), lambda a, w: F.concat(a, F.array(next_(F.element_at(a, -1), w))))
-    placed = F.flatten(F.zip_with(words, F.slice(begins, F.lit(1), F.size(words)), lambda w, b: F.transform(w, lambda t, i: F.struct(t.alias("term"), (b + i).cast("int").alias("pos")))))
+    # the text is prepared as a whole, in generated code, and parted again
+    text = F.regexp_replace(prepared(F.array_join(paragraphs, "\x1f")), "[.,:;]+(\\s|$|(?=\x1f))", " ")
+    words = F.transform(F.split(text, "\x1f"), lambda p: F.filter(F.split(p, r"[^a-z0-9.]+"), lambda w: w != ""))
+    # a paragraph begins at the sum of the rounded sizes of those before it
+    sizes = F.transform(words, lambda w: (F.ceil((F.size(w) + GAP) / STEP) * STEP).cast("int"))
+    begins = F.transform(words, lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, n: a + n))
+    placed = F.flatten(F.zip_with(words, begins, lambda w, b: F.transform(w, lambda t, i: F.struct(t.alias("term"), (b + i).cast("int").alias("pos")))))
     rows = docs.select(F.col(uid).alias("uid"), F.explode(placed).alias("t")).select("uid", F.lit(field).alias("field"), "t.term", "t.pos")
     return rows.where(~stop(F.col("term")) & ~F.col("term").rlike("^[0-9.]+$"))
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import pairs, relax, words
 
 LEAST_VOTES, MOST_CANDIDATES, LEAST_SCORE = 4, 25, 60
-#: Word pairs in more documents than this share of all vote for too many to be of use.
 
 
 def jaccard(a: Column, b: Column) -> Column:

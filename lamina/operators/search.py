@@ -164,3 +164,81 @@ def ranked_words(index: DataFrame, text: str) -> DataFrame:
     """(uid, hits): documents by how many of the text's words they hold."""
     words = sorted({w for w in re.findall(r"[^\W_]+", text.lower()) if w not in STOP_WORDS})
     return index.where(F.col("term").isin(words)).groupBy("uid").agg(F.count_distinct("term").alias("hits"))
+
+
+def ranked_pairs(index: DataFrame, text: str) -> DataFrame:
+    """(uid, hits): documents by how many of the text's pairs of neighbouring informative
+    words they hold as phrases. One pass over the index looks for all."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    pairs = sorted({(a, b) for a, b in zip(words, words[1:]) if not {a, b} & set(STOP_WORDS)})
+    if not pairs:
+        return index.select("uid").limit(0).withColumn("hits", F.lit(0).cast("long"))
+    hit = F.filter(F.array(*(x for n, (a, b) in enumerate(pairs) for x in (F.when(F.col("term") == a, F.struct(F.lit(n).alias("n"), F.lit(0).alias("side"), F.col("pos").alias("at"))), F.when(F.col("term") == b, F.struct(F.lit(n).alias("n"), F.lit(1).alias("side"), (F.col("pos") - 1).alias("at")))))), lambda s: s.isNotNull())
+    held = index.where(F.col("term").isin(sorted({w for p in pairs for w in p}))).select("uid", F.explode(hit).alias("h")).select("uid", "h.n", "h.at", "h.side").distinct()
+    both = held.groupBy("uid", "n", "at").agg(F.count("*").alias("sides")).where("sides = 2")
+    return both.groupBy("uid").agg(F.count_distinct("n").alias("hits"))
+
+
+def search_within(index: DataFrame, query: str, ids: DataFrame, stops: frozenset[str] = frozenset(STOP_WORDS)) -> DataFrame:
+    """A query whose operand besides is a table of ids (uid)."""
+    return search(index, query, stops).join(ids.select("uid").distinct(), "uid", "left_semi")
+
+
+def exact_title(index: DataFrame, title: str, stops: frozenset[str] = frozenset(STOP_WORDS)) -> DataFrame:
+    """(uid) of documents that hold a title as one phrase: no operators in it; stop words and
+    numbers stand for any word."""
+    words = [None if w in stops or w.isdigit() else w for w in re.findall(r"[^\W_]+", title.lower())]
+    while words and words[-1] is None:
+        words.pop()
+    lead = next((i for i, w in enumerate(words) if w is not None), len(words))
+    if lead == len(words):
+        raise ValueError("a title needs a word that is indexed")
+    return starts(index, Phrase(words[lead:])).select("uid").distinct()
+
+
+def word_positions(index: DataFrame, pattern: str) -> DataFrame:
+    """(term, uid, positions) of each matching term; * anywhere."""
+    rx = "^" + ".*".join(re.escape(p) for p in pattern.split("*")) + "$"
+    return index.where(F.col("term").rlike(rx)).groupBy("term", "uid").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+
+
+def rewrites(query: str, stops: frozenset[str] = frozenset(STOP_WORDS)) -> list[tuple[str, str]]:
+    """(stage, text) of how a query is read: its tokens, then the tree of operators."""
+    def text(node: object) -> str:
+        if isinstance(node, Both):
+            return f"({text(node.left)} {node.op} {text(node.right)})"
+        if isinstance(node, Near):
+            return f"({text(node.left)} {'~' * node.within} {text(node.right)})"
+        return "<" + " ".join(w or "+" for w in node.words) + ">" + (f"[{node.of}]" if node.of else "")
+
+    return [("tokens", " | ".join(TOKEN.findall(query))), ("tree", text(Parser(query, stops).parse()))]
+
+
+def associated(rows: DataFrame, ids: DataFrame, code: str = "code", most: int = 30, least: int = 0) -> DataFrame:
+    """(code, n): the codes that most of the given documents have; rows (uid, code)."""
+    held = rows.join(ids.select("uid").distinct(), "uid", "left_semi").groupBy(code).agg(F.count_distinct("uid").alias("n"))
+    return held.where(F.col("n") > least).orderBy(F.desc("n"), code).limit(most)
+
+
+def named_results(results: dict[str, DataFrame], formula: str) -> DataFrame:
+    """(uid) of saved results combined: '(#a OR #b) AND #c NOT #d'."""
+    tokens = re.findall(r"\(|\)|#\w+|AND|OR|NOT", formula)
+    at = 0
+
+    def level(i: int) -> DataFrame:
+        nonlocal at
+        if i == 3:
+            at += 1
+            if tokens[at - 1] == "(":
+                out = level(0)
+                at += 1
+                return out
+            return results[tokens[at - 1][1:]].select("uid").distinct()
+        left = level(i + 1)
+        while at < len(tokens) and tokens[at] == ("OR", "AND", "NOT")[i]:
+            at += 1
+            right = level(i + 1)
+            left = left.union(right).distinct() if i == 0 else left.join(right, "uid", "left_semi" if i == 1 else "left_anti")
+        return left
+
+    return level(0)

@@ -14,7 +14,9 @@ def sort_uniq_count(df: DataFrame, column: str) -> DataFrame:
 
 
 def sort_uniq_count_rank(df: DataFrame, column: str) -> DataFrame:
-    return sort_uniq_count(df, column).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "value")))
+    """Adds the rank by count, then value: places in a global order, not one sorted task."""
+    counted = sort_uniq_count(df, column).withColumn("_o", F.struct((-F.col("count")).alias("n"), F.col("value")))
+    return with_place(counted, "_o", "rank").select("count", "value", (F.col("rank") + 1).cast("int").alias("rank"))
 
 
 def numeric_first(x: Column) -> list[Column]:
@@ -95,8 +97,10 @@ def groups_of(df: DataFrame, n: int, column: str, order: str, sep: str = ",") ->
 
 def with_place(df: DataFrame, order: str, name: str = "place") -> DataFrame:
     """Adds the 0-based place of each row in a global order: the rows' partitions by range
-    are numbered, counted, and each adds the counts before it."""
-    parts = df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
+    are numbered, counted, and each adds the counts before it. The number of ranges is given,
+    so that no reader merges them, and both readers share one exchange."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = df.repartitionByRange(ranges, F.col(order)).withColumn("_part", F.spark_partition_id())
     counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
@@ -124,3 +128,97 @@ def between_markers(df: DataFrame, order: str, is_first: Column, is_last: Column
     begun = F.max(is_first.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     done = F.coalesce(F.max((is_last & (F.col("_b") == 1)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return df.withColumn("_b", begun).withColumn("_d", done).where("_b = 1 and _d = 0").drop("_b", "_d")
+
+
+def filter_columns(df: DataFrame, condition: str) -> DataFrame:
+    """Rows that a condition on columns holds for."""
+    return df.where(F.expr(condition))
+
+
+def reorder_columns(df: DataFrame, *places: int) -> DataFrame:
+    """Columns by their place from 1, repeats allowed; a repeat gets a number."""
+    seen: dict[str, int] = {}
+    out = []
+    for p in places:
+        name = df.columns[p - 1]
+        seen[name] = seen.get(name, 0) + 1
+        out.append(F.col(name).alias(name if seen[name] == 1 else f"{name}_{seen[name]}"))
+    return df.select(*out)
+
+
+def print_columns(df: DataFrame, *expressions: str, sep: str = "\t") -> DataFrame:
+    """(line): expressions on columns, nulls as nothing, with separators between."""
+    return df.select(F.concat_ws(sep, *(F.coalesce(F.expr(e).cast("string"), F.lit("")) for e in expressions)).alias("line"))
+
+
+def words_at_a_time(df: DataFrame, key: str, column: str, accessions: bool = False) -> DataFrame:
+    """(key, word): lower-case ASCII words in rows; accessions keep _ and . inside."""
+    parts = F.split(F.lower(column), "[^a-z0-9_.]+" if accessions else "[^a-z0-9]+")
+    return df.select(key, F.explode(parts).alias("word")).where("word <> ''")
+
+
+def lookup(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
+    """df with a column's values translated by table (key, value); others pass through."""
+    t = table.select(F.col("key").alias("_k"), F.col("value").alias("_v"))
+    joined = df.join(t, F.col(column) == F.col("_k"), "left")
+    return joined.select(*(F.coalesce("_v", column).alias(c) if c == column else F.col(c) for c in df.columns))
+
+
+def sample_ids(df: DataFrame, column: str, n: int, seed: int = 0) -> DataFrame:
+    """n values at random, the same for a seed: those with the least hashes."""
+    return df.select(column).orderBy(F.md5(F.concat(F.col(column).cast("string"), F.lit(f":{seed}"))), column).limit(n)
+
+
+def gene_ranges(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """(keys, low, high, strand): the extent of all intervals of a gene; the strand is minus if
+    they run backward, mixed if both ways."""
+    back = (F.col(start) > F.col(end)).cast("int")
+    g = df.groupBy(*keys).agg(F.min(F.least(start, end)).alias("low"), F.max(F.greatest(start, end)).alias("high"), F.min(back).alias("_a"), F.max(back).alias("_b"))
+    strand = F.when(F.col("_a") != F.col("_b"), "mixed").when(F.col("_b") == 1, "minus").otherwise("plus")
+    return g.select(*keys, "low", "high", strand.alias("strand"))
+
+
+def split_at_gaps(df: DataFrame, keys: list[str], start: str, end: str, gap: int = 30) -> DataFrame:
+    """(keys, part, low, high): the runs of intervals, parted where at least `gap` places lie
+    between the end so far and the next start."""
+    w = Window.partitionBy(*keys).orderBy(start, end)
+    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((F.col(start) - F.col("_before") - 1 >= gap).cast("int"), F.lit(1))
+    marked = df.withColumn("_before", before).withColumn("part", F.sum(new).over(w).cast("int"))
+    return marked.groupBy(*keys, "part").agg(F.min(start).alias("low"), F.max(end).alias("high"))
+
+
+def aligned_value(x: Column, mode: str, width: Column, decimals: Column) -> Column:
+    """A cell: l left, r right, c centred, n numbers right and others left, N and z as n with
+    commas or zeros, m and M at the decimal point, M with commas."""
+    text = F.coalesce(x.cast("string"), F.lit(""))
+    number = text.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$")
+    whole, rest = F.regexp_extract(text, r"^([+-]?[0-9]+)", 1), F.regexp_extract(text, r"(\.[0-9]+)$", 1)
+    commas = F.regexp_replace(whole, r"(?<=\d)(?=(\d{3})+$)", ",")
+    right, left = lambda c: F.lpad(c, width, " "), lambda c: F.rpad(c, width, " ")
+    if mode == "l":
+        return left(text)
+    if mode == "r":
+        return right(text)
+    if mode == "c":
+        return left(F.concat(F.repeat(F.lit(" "), ((width - F.length(text)) / 2).cast("int")), text))
+    shown = {"n": text, "N": F.concat(commas, rest), "z": F.lpad(text, width, "0"), "Z": F.lpad(text, width, "0"), "m": F.concat(whole, F.rpad(rest, decimals, " ")), "M": F.concat(commas, F.rpad(rest, decimals, " "))}[mode]
+    return F.when(number, right(shown)).otherwise(left(text))
+
+
+def align_columns(df: DataFrame, modes: str, least: int = 0, gap: int = 2) -> DataFrame:
+    """(line): all columns aligned, a letter of modes for each, the last for the rest. Widths
+    are found in a first pass and are one row."""
+    own = {c: modes[min(i, len(modes) - 1)] for i, c in enumerate(df.columns)}
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    decimals = lambda c: F.length(F.regexp_extract(text(c), r"^[+-]?[0-9]+(\.[0-9]+)$", 1))
+    whole = lambda c: F.length(F.regexp_extract(text(c), r"^([+-]?[0-9]+)(\.[0-9]+)?$", 1))
+    sizes = []
+    for c, m in own.items():
+        d = F.max(decimals(c)) if m in "mM" else F.lit(0)
+        commas = F.max(F.floor((F.greatest(whole(c), F.lit(1)) - 1) / 3)) if m in "NM" else F.lit(0)
+        wide = F.greatest(F.max(F.length(text(c))), F.max(whole(c)) + d) if m in "mM" else F.max(F.length(text(c)))
+        sizes += [F.greatest(wide + commas, F.lit(max(1, least))).cast("int").alias(f"_w_{c}"), d.cast("int").alias(f"_d_{c}")]
+    both = df.crossJoin(F.broadcast(df.agg(*sizes)))  # sizes are one row
+    cells = [aligned_value(F.col(c), m, F.col(f"_w_{c}"), F.col(f"_d_{c}")) for c, m in own.items()]
+    return both.select(F.rtrim(F.concat_ws(" " * gap, *cells)).alias("line"))

@@ -70,7 +70,6 @@ def variant_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey AS id, '<P><N>' || replace(replace(replace(p_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</N><S>' || p_size || '</S><E>' || p_brand || '</E></P>' AS xml FROM part WHERE p_partkey % 2 = 0""")
 def append_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part")
-    recs = C.to_records(p.select(F.col("p_name").alias("N"), F.col("p_size").alias("S")), "P")
     recs = p.select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("<P><N>"), C.escape(F.col("p_name")), F.lit("</N><S>"), F.col("p_size").cast("string"), F.lit("</S></P>")).alias("xml"))
     parts = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("<E>"), "p_brand", F.lit("</E>")).alias("fragment"))
     return X.append_fragments(recs, parts).select(F.col("id").cast("long").alias("id"), "xml")

@@ -152,7 +152,8 @@ def porter2_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("word", T.stemmed(F.col("word")).alias("stem"), "n")
 
 
-@query()
+@query(rf"""SELECT pair, count(*) AS n FROM (SELECT w[i] || ' ' || w[i + 1] AS pair FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT list_filter(regexp_split_to_array(r, '[^\p{{L}}\p{{Nd}}]+'), lambda x: x <> '') AS w
+  FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{Nd}}\s-]')) AS r FROM documents))) WHERE w[i] NOT IN ({STOPS}) AND w[i + 1] NOT IN ({STOPS})) GROUP BY 1""")
 def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.explode(T.pairs(F.col("text"))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
 
@@ -174,7 +175,17 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "s", N.revcomp(s).alias("rc"), N.retain(s, leading=5).alias("lead"), N.extract(s, F.lit("4..9")).alias("mid"), N.remove_ends(s, 2, 2).alias("cut"), N.extract(s, F.lit("6..2")).alias("minus"), F.coalesce(F.try_element_at(g, F.lit(1))["count"], F.lit(0)).alias("g"))
 
 
-@query()
+_CODONS = "MAP {" + ", ".join(f"'{a}{b}{c}': '{N.CODES[1]['TCAG'.index(a) * 16 + 'TCAG'.index(b) * 4 + 'TCAG'.index(c)]}'" for a in "TCAG" for b in "TCAG" for c in "TCAG") + "}"
+_THREE = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in N.THREE.items()) + "}"
+_WEIGHTS = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in N.WEIGHTS.items()) + "}"
+
+
+@query(f"""WITH c AS (SELECT p_partkey, s, list_transform([1, 4, 7, 10], lambda i: {_CODONS}[s[i:i + 2]]) AS r FROM {SEQ_SQL}),
+p AS (SELECT p_partkey, s, array_to_string(r, '') AS plain, (CASE WHEN s[1:3] IN ('TTG', 'CTG', 'ATG') THEN 'M' ELSE r[1] END) || r[2] || r[3] || r[4] AS protein FROM c),
+w AS (SELECT *, replace(plain, '*', '') AS bare FROM p)
+SELECT p_partkey, s, CASE WHEN ends_with(protein, '*') THEN protein[:-2] ELSE protein END AS protein, plain,
+  CASE WHEN length(bare) > 0 THEN floor({N.WATER} + list_sum(list_transform(regexp_split_to_array(CASE WHEN starts_with(bare, 'M') AND length(bare) > 1 THEN bare[2:] ELSE bare END, ''), lambda x: {_WEIGHTS}[x])) + 0.5)::BIGINT END AS weight,
+  array_to_string(list_transform(regexp_split_to_array(plain, ''), lambda x: {_THREE}[x]), '') AS three FROM w""")
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s")
     rows = read(spark, sf_dir, "part").select("p_partkey", seq().alias("s"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import text as T
 from ..operators import index as I
 from ..operators import match as M
 from ..operators import scope as S
@@ -181,25 +182,29 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _W = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+'), lambda x: x <> ''))"
 
 
-@query(f"""WITH b AS (SELECT item_id, {_W} AS w FROM benchmark), d AS (SELECT doc_id, {_W} AS w FROM documents WHERE length(text) < 400)
-SELECT item_id, doc_id, (len(list_intersect(b.w, d.w)) * 100 // len(list_distinct(b.w || d.w)))::BIGINT AS score FROM b, d WHERE len(list_intersect(b.w, d.w)) * 100 // len(list_distinct(b.w || d.w)) >= 10""")
-def jaccard_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short documents only, as in its SQL; jaccard_match_all has every document."""
-    return M.jaccard_pairs(_benchmark(spark, sf_dir), _documents(spark, sf_dir).where(F.length("text") < 400), "item_id", "doc_id", 10)
-
-
 @query(f"""WITH b AS (SELECT item_id, {_W} AS w FROM benchmark), d AS (SELECT doc_id, {_W} AS w FROM documents),
 p AS (SELECT item_id, doc_id, n, m, count(*) AS c FROM (SELECT item_id, len(w) AS n, unnest(w) AS t FROM b) x JOIN (SELECT doc_id, len(w) AS m, unnest(w) AS t FROM d) y ON x.t = y.t GROUP BY ALL)
 SELECT item_id, doc_id, (c * 100 // (n + m - c))::BIGINT AS score FROM p WHERE c * 100 // (n + m - c) >= 10""")
-def jaccard_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def jaccard_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.jaccard_pairs(_benchmark(spark, sf_dir), _documents(spark, sf_dir), "item_id", "doc_id", 10)
 
 
-@query()
+_STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_PAIRS = rf"""SELECT DISTINCT id, w[i] || ' ' || w[i + 1] AS pair FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM (SELECT id, list_filter(regexp_split_to_array(r, '[^\p{{L}}\p{{Nd}}]+'), lambda x: x <> '') AS w
+  FROM (SELECT id, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{Nd}}\s-]')) AS r FROM t))) WHERE w[i] NOT IN ({_STOPS}) AND w[i + 1] NOT IN ({_STOPS})"""
+
+
+@query(f"""WITH c AS ({_PAIRS.replace("FROM t)", "FROM (SELECT item_id AS id, text FROM benchmark))")}), d AS ({_PAIRS.replace("FROM t)", "FROM (SELECT doc_id AS id, text FROM documents))")}),
+v AS (SELECT c.id AS cit, d.id AS doc, count(*) AS votes FROM c JOIN d USING (pair) GROUP BY 1, 2),
+k AS (SELECT cit, doc FROM v WHERE votes >= 4 QUALIFY votes = max(votes) OVER (PARTITION BY cit)),
+f AS (SELECT cit, doc FROM k QUALIFY row_number() OVER (PARTITION BY cit ORDER BY doc) <= 25),
+s AS (SELECT cit, doc, (len(list_intersect(a.w, b.w)) * 100 // len(list_distinct(a.w || b.w)))::BIGINT AS score FROM f JOIN (SELECT item_id, {_W} AS w FROM benchmark) a ON cit = item_id JOIN (SELECT doc_id, {_W} AS w FROM documents) b ON doc = doc_id)
+SELECT cit, doc, score FROM s WHERE score >= 60 QUALIFY row_number() OVER (PARTITION BY cit ORDER BY score DESC, doc) = 1""")
 def citation_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items against documents by shared word pairs, then by words in common."""
     b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return M.match(b, d, 1)
+    return M.match(b, d)
 
 
 @query("""SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events""")

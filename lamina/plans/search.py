@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import text as T
 from ..operators import index as I
 from ..operators import search as Q
 from ..operators.positions import by_document, frequencies, phrase, positions
@@ -72,47 +73,42 @@ def ranked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.ranked_words(positions(docs(spark, sf_dir)), "onthe erly, edly: thered the")
 
 
-@query(f"""WITH {POS}, t AS (SELECT term, uid FROM pos GROUP BY 1, 2)
-SELECT 'TEXT' AS field, term, count(*) AS df, string_agg(uid::VARCHAR, ',' ORDER BY uid) AS uids FROM t WHERE term LIKE 'ed%' GROUP BY term""")
-def postings_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports the terms in 'ed' only, as its SQL does; postings_all has every term."""
-    index = positions(docs(spark, sf_dir)).where(F.col("term").startswith("ed")).withColumn("field", F.lit("TEXT"))
-    return I.postings(I.invert(index)).select("field", "term", "df", F.array_join("uids", ",").alias("uids"))
-
-
 @query(f"""WITH {POS}, t AS (SELECT term, count(DISTINCT uid) AS df FROM pos GROUP BY 1)
 SELECT 'TEXT' AS field, pos.term, df, uid, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM pos JOIN t ON pos.term = t.term GROUP BY pos.term, df, uid""")
-def postings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def postings_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inverts every term; a frequent term stays many rows."""
     d = docs(spark, sf_dir)
     index = by_document(d).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))  # shuffles less than arrays do
     return I.exploded_postings(index, frequencies(d)).select(F.lit("TEXT").alias("field"), "term", "df", "uid", "positions")
 
 
-@query()
+_FOLDED = f"translate(text, '{T.FOLD_FROM}', '{T.FOLD_TO}')"
+for _a, _b in T.FOLD_MORE.items():
+    _FOLDED = f"replace({_FOLDED}, '{_a}', '{_b}')"
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&#39;", "''"), ("&#34;", '"'), ("&amp;", "&")):
+    _FOLDED = f"replace({_FOLDED}, '{_a}', '{_b}')"
+_STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
+@query(rf"""WITH p AS (SELECT doc_id, unnest(string_split(regexp_replace(lower({_FOLDED}), '[()_\-]', ' ', 'g'), chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+w AS (SELECT doc_id, i, list_filter(regexp_split_to_array(regexp_replace(p, '[.,:;]+([ \t\n\x0B\f\r]|$)', ' ', 'g'), '[^a-z0-9.]+'), lambda x: x <> '') AS w FROM p),
+b AS (SELECT *, coalesce(sum((ceil((len(w) + 20) / 100) * 100)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM w),
+t AS (SELECT doc_id, unnest(w) AS term, (b + unnest(range(len(w))))::INT AS pos FROM b)
+SELECT doc_id AS uid, 'TEXT' AS field, term, pos FROM t WHERE term NOT IN ({_STOPS}) AND NOT regexp_matches(term, '^[0-9.]+$')""")
 def field_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positional index by paragraphs, with gaps between them."""
     return I.paragraph_terms(docs(spark, sf_dir), "doc_id", F.split("text", "\n"), "TEXT")
 
 
-@query()
+@query(f"""WITH {POS}, near AS (SELECT DISTINCT a.uid FROM pos a JOIN pos b ON a.uid = b.uid AND b.pos > a.pos AND b.pos <= a.pos + 3 WHERE a.term = 'onthe' AND b.term = 'edly')
+SELECT DISTINCT uid FROM pos WHERE starts_with(term, '{T.stem("erly")}') UNION SELECT DISTINCT uid FROM pos WHERE starts_with(term, '{T.stem("things")}') AND uid IN (FROM near)""")
 def stem_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.search(positions(docs(spark, sf_dir)), "erly$ OR things$ AND (onthe ~~ edly)")
 
 
-@query(f"""WITH {POS}, t AS (SELECT term, count(DISTINCT uid) AS df FROM pos GROUP BY 1), n AS (SELECT count(*) AS n FROM documents)
-SELECT uid, pos.term, count(*) AS tf, round(count(*) * ln(n.n / t.df), 6) AS tfidf FROM pos JOIN t ON pos.term = t.term, n WHERE pos.term LIKE 'onth%' GROUP BY uid, pos.term, n.n, t.df""")
-def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighs the terms in 'onth' only, as its SQL does; tf_idf_all has every term."""
-    d = docs(spark, sf_dir)
-    index = positions(d).where(F.col("term").startswith("onth"))
-    tf, df = index.groupBy("uid", "term").agg(F.count("*").alias("tf")), index.groupBy("term").agg(F.count_distinct("uid").alias("df"))
-    return I.tf_idf(tf, df, d)
-
-
 @query(f"""WITH {POS}, t AS (SELECT term, count(DISTINCT uid) AS df FROM pos GROUP BY 1), n AS (SELECT count(*) AS n FROM documents)
 SELECT uid, pos.term, count(*) AS tf, round(count(*) * ln(n.n / t.df), 6) AS tfidf FROM pos JOIN t ON pos.term = t.term, n GROUP BY uid, pos.term, n.n, t.df""")
-def tf_idf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every term of every document."""
     d = docs(spark, sf_dir)
     return I.tf_idf(by_document(d).select("uid", "term", F.size("positions").cast("long").alias("tf")), frequencies(d), d)

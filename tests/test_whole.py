@@ -30,7 +30,7 @@ def found(spark, folder, name):
     return set(rows)
 
 
-def test_jaccard_match_all(spark, folder):
+def test_jaccard_match(spark, folder):
     want = set()
     for i, a in ITEMS.items():
         for d, b in TEXTS.items():
@@ -39,16 +39,16 @@ def test_jaccard_match_all(spark, folder):
             if score >= 10:
                 want.add((i, d, score))
     assert (1, 5, 13) in want and len(TEXTS[5]) > 400
-    assert found(spark, folder, "jaccard_match_all") == want
+    assert found(spark, folder, "jaccard_match") == want
 
 
-def test_tf_idf_all(spark, folder):
+def test_tf_idf(spark, folder):
     df = Counter(t for x in TEXTS.values() for t in set(terms(x)))
     want = {(d, t, n, round(n * log(len(TEXTS) / df[t]), 6)) for d, x in TEXTS.items() for t, n in Counter(terms(x)).items()}
-    assert found(spark, folder, "tf_idf_all") == want
+    assert found(spark, folder, "tf_idf") == want
 
 
-def test_postings_all(spark, folder):
+def test_postings_build(spark, folder):
     df = Counter(t for x in TEXTS.values() for t in set(terms(x)))
     want = {("TEXT", t, df[t], d, ",".join(str(i) for i, w in enumerate(terms(x)) if w == t)) for d, x in TEXTS.items() for t in terms(x)}
-    assert found(spark, folder, "postings_all") == want
+    assert found(spark, folder, "postings_build") == want
