@@ -142,7 +142,10 @@ def mix_sizes(docs: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs as often as mix_sizes takes them, with all their columns."""
+    """The rows of docs as often as mix_sizes takes them, with all their columns, whatever
+    their names. Null and empty texts have size 0 and come as often as their source's whole
+    copies and threshold say; a source without words gives none. Repeated rows move together.
+    An empty table gives no rows."""
     _, sources, few = plan(docs)
     whole = docs.select(F.struct(*(quoted(c) for c in docs.columns)).alias("row"), F.col("source"), doc_hash(F.col("doc_id")).alias("hash"))
     joined = _join(whole, sources, few).select("row", _copies().alias("copies")).where("copies > 0")

@@ -275,6 +275,67 @@ def test_lines_in_many_shards(spark, monkeypatch):
         whole.insert(docs.where("doc_id = 3"))
 
 
+def test_fingerprints_in_chunks(monkeypatch):
+    texts = [" ".join(f"w{i * k % 41}" for i in range(60)).encode() for k in range(1, 9)] + [b"a b", b""]
+    want = [simhash.fingerprint(t) for t in texts]
+    monkeypatch.setattr(simhash, "CHUNK", 7)
+    assert [simhash.fingerprint(t) for t in texts] == want
+
+
+def test_pieces_forget_and_learn_again(spark, monkeypatch):
+    """The words that a worker remembers come in two generations."""
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "CACHE", 20)
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    encoder = pieces.Encoder(open(MODEL, "rb").read(), True)
+    r = random.Random(5)
+    for _ in range(12):
+        texts = [" ".join("".join(r.choice("abcdeé日") for _ in range(r.randint(1, 90 if r.random() < 0.1 else 6))) for _ in range(15)) for _ in range(4)] + [""]
+        for text, (n, ids, _) in zip(texts, encoder.batch(texts), strict=True):
+            want = library.encode(text)
+            assert n == len(want) and ids.decode() == ",".join(map(str, want))
+
+
+def test_archives_of_many_files(spark, tmp_path, monkeypatch):
+    """Small files and small ranges, columns of clashing names, and a very long page."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 3000)
+    monkeypatch.setattr(warc, "SPLIT_BYTES", 500)
+    many = [(i, "u", f"page {i % 40} " * 200) for i in range(90)] + [(500, "u", "x" * 300_000), (501, "u", None), (None, None, "y" * 1000)]
+    table = spark.createDataFrame([(*m, 1, "z", "w") for m in many], "page_id long, url string, html string, size int, sha string, refers_to string").repartition(2)
+    files = warc.write_archives(table, f"file://{tmp_path}/b")
+    assert files.count() > 10
+    got = warc.read_archives(files)
+    assert rows_of(got, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == sorted(brute.pages([(p, h) for p, _, h in many]), key=repr)
+    assert rows_of(warc.round_trip(table), "page_id", "record_type") == rows_of(got, "page_id", "record_type")
+    assert warc.round_trip(table.limit(0)).count() == 0
+
+
+def test_stages_on_empty_tables(spark):
+    docs = docs_of(spark, corpus()).limit(0)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    network = toxicity.learn(docs, none)
+    for out in (toxicity.keep_clean(docs, network), lines.dedup_lines(docs), simhash.keep_one(docs), mixing.mix_documents(docs)):
+        assert out.columns == docs.columns and out.count() == 0
+    assert pieces.encode_digests(docs, MODEL).count() == 0
+
+
+def test_keep_clean_on_hard_rows(spark):
+    """Repeated rows are judged alike, null texts stay, ids may be null."""
+    rows, labels = toxic_rows(0, 900)
+    network = toxicity.fit([t.encode() for _, t, _ in rows], [y for *_, y in labels])
+    hard = [(1, "grunk " * 200, "s"), (1, "grunk " * 200, "s"), (None, "grunk zharp", None), (2, None, "s"), (None, None, None), (3, "", "s"), (4, "bane tiro", "s"), (4, "bane tiro", "s")]
+    docs = docs_of(spark, hard).withColumn("n chars", F.lit(2))
+    got = toxicity.keep_clean(docs, network)
+    assert got.columns == docs.columns
+    judged = toxicity.score(docs, network).collect()
+    assert [r["predicted"] for r in judged if r["doc_id"] == 1] == [1, 1]
+    texts = sorted((repr(r["text"]) for r in got.collect()))
+    scores = dict(zip([b"" if t is None else t.encode() for _, t, _ in hard], network.scores([toxicity.words(b"" if t is None else t.encode()) for _, t, _ in hard]), strict=True))
+    assert texts == sorted(repr(t) for _, t, _ in hard if t is None or scores[t.encode()] < 0.5)
+    assert texts.count("None") == 2 and not any("grunk" in t for t in texts)
+
+
 def test_columns_of_any_name_and_int_ids(spark):
     """Names that need quoting survive the stages that rewrite rows, and ids may be ints."""
     rows = [(i, "shared line of more than forty characters, in all of them\n" + f"own {i}", f"s{i}") for i in range(6)]
