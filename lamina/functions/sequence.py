@@ -77,35 +77,70 @@ def residue(codon: str, code: int = 1) -> str:
     return {frozenset("DN"): "B", frozenset("EQ"): "Z", frozenset("IL"): "J"}.get(frozenset(got), "X")
 
 
-def translate_cds(seq: str, code: int = 1, frame: int = 0, keep_stop: bool = False) -> str:
-    """Protein of a coding region. An alternative start codon gives M; a last codon that
-    lacks bases counts with N; the final stop goes unless kept."""
+def translate_cds(seq: str, code: int = 1, frame: int = 0, keep_stop: bool = False, every: bool = False, trim: bool = False, part5: bool = False, part3: bool = False, between: str = "") -> str:
+    """Protein of a coding region. At a complete 5' end (not part5) an alternative start codon
+    gives M; a last codon that lacks bases counts with N. Translation ends at the first stop,
+    which is kept if so wanted; `every` reads on through stops. A partial last codon whose
+    readings can end a protein is a stop if the stop is kept and the 3' end is complete (not
+    part3). trim takes X and stops off the end. between stands between residues."""
     s = seq.upper().replace("U", "T")[frame:]
-    codons = [s[i : i + 3] for i in range(0, len(s), 3)]
     out = []
-    for i, c in enumerate(codons):
-        if len(c) < 3:
-            r = residue(c + "N" * (3 - len(c)), code)
-            if r == "X":
-                break
-        elif i == 0 and frame == 0 and c in STARTS[code]:
-            r = "M"
-        else:
-            r = residue(c, code)
+    for i in range(0, len(s), 3):
+        c = s[i : i + 3]
+        full = c + "N" * (3 - len(c))
+        start = i == 0 and frame == 0 and not part5 and full in STARTS[code]
+        r = "M" if start else residue(full, code)
+        if len(c) < 3 and r == "X":
+            continue
+        if len(c) < 3 and keep_stop and not part3 and r != "*" and any(residue(c + a + b, code) == "*" for a in "TCAG" for b in ("TCAG" if len(c) == 1 else [""])):
+            r = "*"
         out.append(r)
-    p = "".join(out)
-    return p if keep_stop or not p.endswith("*") else p[:-1]
+    p = between.join(out)
+    if not every and "*" in p:
+        p = p[: p.index("*") + bool(keep_stop)]
+    while trim and p.endswith(("X", "*")):
+        p = p.rstrip("*").rstrip("X")
+    return p
 
 
-def cds_to_protein(x: Column, code: int = 1, frame: int = 0, keep_stop: bool = False) -> Column:
+def cds_to_protein(x: Column, code: int = 1, frame: int = 0, keep_stop: bool = False, every: bool = False, trim: bool = False, part5: bool = False, part3: bool = False, between: str = "") -> Column:
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
-            yield s.map(lambda v: None if v is None else translate_cds(v, code, frame, keep_stop))
+            yield s.map(lambda v: None if v is None else translate_cds(v, code, frame, keep_stop, every, trim, part5, part3, between))
 
     return run(x)
 
 
+def codon_report(nucleotides: str, protein: str, frame: int = 0, three: bool = False) -> str:
+    """Fifteen codons a line with the number of codons so far, residues below them."""
+    s = nucleotides[frame:]
+    if len(s) < 3:
+        return ""
+    codons = [s[i : i + 3].ljust(3, "N") for i in range(0, len(s), 3)]
+    out, done, at = [], 0, 0
+    while done < len(codons) or at < len(protein):
+        line = codons[done : done + 15]
+        done += len(line)
+        residues = [THREE.get(r, r) if three else f" {r} " for r in protein[at : at + 15]]
+        at += 15
+        out.append("".join(f"{c} " for c in line) + "    " * (15 - len(line)) + f"{done:6d}\n" + "".join(f"{r} " for r in residues) + "\n\n")
+    return "".join(out)
+
+
+def codons(nucleotides: Column, protein: Column, frame: int = 0, three: bool = False) -> Column:
+    @F.pandas_udf("string")
+    def run(n: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else codon_report(a, b, frame, three) for a, b in zip(n, p, strict=True)])
+
+    return run(nucleotides, protein)
+
+
+def genetic_code(code: int = 1) -> list[tuple[str, str, bool]]:
+    """(codon, residue, whether it starts) of a genetic code."""
+    return [("".join(c), CODES[code][i], "".join(c) in STARTS[code]) for i, c in enumerate(product("TCAG", repeat=3))]
+
+
 def plain_translation(x: Column, code: int = 1) -> Column:
     """Translation of unambiguous sequences without Python: a map of 64 codons."""
     table = F.create_map(*(F.lit(v) for i, c in enumerate(product("TCAG", repeat=3)) for v in ("".join(c), CODES[code][i])))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, stop, unescape
+from ..functions.text import fold, pairs, stop, unescape
 
 #: A paragraph begins at the next multiple of this, at least GAP after the last word.
 STEP, GAP = 100, 20
@@ -84,6 +84,42 @@ def tf_idf(tf: DataFrame, df: DataFrame, docs: DataFrame) -> DataFrame:
     return tf.join(counted, "term").select("uid", "term", "tf", F.round(F.col("tf") * F.ln(F.col("n") / F.col("df")), 6).alias("tfidf"))
 
 
+# -- index documents -----------------------------------------------------------------------
+
+
+def index_documents(values: DataFrame, uid: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """(uid, field, term, pos) of records whose columns are arrays of values, in one pass.
+
+    fields: for each field a column and how it is indexed: "text", positions over paragraphs;
+    "key", each whole value in lower case; "year", the first four digits; "pair", neighbouring
+    informative words; "count", the number of values. Keys have no position."""
+    rows = None
+    keys = []
+    for name, (column, how) in fields.items():
+        a = F.coalesce(F.col(column), F.array().cast("array<string>"))
+        if how == "text":
+            own = paragraph_terms(values, uid, a, name)
+            rows = own if rows is None else rows.union(own)
+            continue
+        made = {
+            "key": F.transform(a, lambda x: F.lower(F.trim(x))),
+            "year": F.transform(a, lambda x: F.regexp_extract(x, "([0-9]{4})", 1)),
+            "pair": F.flatten(F.transform(a, pairs)),
+            "count": F.array(F.size(a).cast("string")),
+        }[how]
+        keys.append(F.struct(F.lit(name).alias("field"), F.array_distinct(F.filter(made, lambda x: x != "")).alias("terms")))
+    if keys:
+        spread = values.select(F.col(uid).alias("uid"), F.explode(F.array(*keys)).alias("k")).select("uid", "k.field", F.explode("k.terms").alias("term"), F.lit(None).cast("int").alias("pos"))
+        rows = spread if rows is None else rows.union(spread)
+    return rows
+
+
+def folder(uid: Column, depth: int = 3) -> Column:
+    """The folder of an id in an archive: digits padded to eight, two a level."""
+    padded = F.when(F.length(uid) < 8, F.lpad(uid, 8, "0")).otherwise(uid)
+    return F.when(uid.rlike("^[0-9]+$"), F.concat_ws("/", *(padded.substr(2 * i + 1, 2) for i in range(depth))))
+
+
 # -- record archive ------------------------------------------------------------------------
 
 

@@ -46,6 +46,31 @@ def match(citations: DataFrame, docs: DataFrame, least: int = LEAST_SCORE) -> Da
     return best.select("cit", (-F.col("b.d")).alias("doc"), F.col("b.score").alias("score"))
 
 
+def normalised(citations: DataFrame) -> DataFrame:
+    """Citations (id, author, title, journal, year, volume, page) cleaned: white space squeezed,
+    journals without periods, the first page and the year alone, and `text` made of what is there."""
+    clean = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\s+", " "))
+    out = citations.select(
+        "id", clean("author").alias("author"), F.regexp_replace(clean("title"), r"[.\s]+$", "").alias("title"), F.trim(F.regexp_replace(clean("journal"), "[.]", "")).alias("journal"),
+        F.regexp_extract(clean("year"), "([0-9]{4})", 1).alias("year"), clean("volume").alias("volume"), F.regexp_extract(clean("page"), r"([\p{L}\p{Nd}]+)", 1).alias("page"),
+    )
+    parts = [F.when(F.col(c) != "", F.col(c)) for c in ("author", "title", "journal", "year", "volume", "page")]
+    return out.withColumn("text", F.concat_ws(". ", *parts))
+
+
+def compared(citations: DataFrame, records: DataFrame, fields: tuple[str, ...] = ("author", "title", "journal", "year", "volume", "page")) -> DataFrame:
+    """(id, doc, agree, differ, missing): citations that name a record (id, doc, fields)
+    against that record (doc, fields): the fields that agree, case and punctuation aside,
+    that differ, and that either lacks; all are missing if there is no such record."""
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[^\p{L}\p{Nd}]+", " ")))
+    r = records.select(F.col("doc").alias("_doc"), *(F.col(f).alias(f"_{f}") for f in fields))
+    joined = citations.join(r, F.col("doc") == F.col("_doc"), "left")
+    state = [F.when((plain(F.col(f)) == "") | (plain(F.col(f"_{f}")) == ""), "missing").when(plain(F.col(f)) == plain(F.col(f"_{f}")), "agree").otherwise("differ") for f in fields]
+    told = F.array(*(F.struct(F.lit(f).alias("f"), s.alias("s")) for f, s in zip(fields, state, strict=True)))
+    of = lambda s: F.array_join(F.transform(F.filter(told, lambda x: x["s"] == s), lambda x: x["f"]), ",").alias(s)
+    return joined.select("id", "doc", of("agree"), of("differ"), of("missing"))
+
+
 def keep_unless_empty(df: DataFrame, key: str, test: Column, strict: bool = False) -> DataFrame:
     """Filters the candidates of each key; a filter that would leave none is skipped,
     unless strict."""

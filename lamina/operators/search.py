@@ -242,3 +242,11 @@ def named_results(results: dict[str, DataFrame], formula: str) -> DataFrame:
         return left
 
     return level(0)
+
+
+def neighbours(edges: DataFrame, ids: DataFrame, name: str | None = None, least: int = 0) -> DataFrame:
+    """(src, dst, score): scored links (src, dst, name, score) of ids, of one kind if named,
+    the best of several between the same two, with at least a score; no link to itself."""
+    held = edges.where(F.col("src") != F.col("dst")) if name is None else edges.where((F.col("name") == name) & (F.col("src") != F.col("dst")))
+    own = held.join(ids.select(F.col("uid").alias("src")).distinct(), "src", "left_semi")
+    return own.groupBy("src", "dst").agg(F.max("score").alias("score")).where(F.col("score") >= least)

@@ -15,12 +15,28 @@ ONE = {n: k for k, n in THREE.items()}
 CLASSES = {"g": "Genomic", "c": "Coding", "p": "Protein"}
 VARIANT = "id string, class string, type string, accession string, version int, position long, deleted string, inserted string"
 NUCLEIC = re.compile(r"^([A-Z]{1,3}_?\d+)(?:\.(\d+))?:([gc])\.(\d+)([ACGT])>([ACGT])$")
+LONGER = re.compile(r"^([A-Z]{1,3}_?\d+)(?:\.(\d+))?:([gc])\.(\d+)(?:_(\d+))?(?:del([ACGT]*)(?:ins([ACGT]+))?|ins([ACGT]+)|dup([ACGT]*))$")
 PROTEIN = re.compile(r"^([A-Z]{1,3}_?\d+)(?:\.(\d+))?:p\.\(?([A-Z][a-z]{2})(\d+)([A-Z][a-z]{2}|=)\)?$")
 
 
 def parse(text: str) -> dict | None:
-    """A substitution in g., c. or p. notation, positions from 0; other kinds give nothing."""
+    """A substitution in g., c. or p. notation, or a deletion, insertion, duplication or both
+    in g. or c. notation, positions from 0; other kinds give nothing. Deleted or duplicated
+    letters that a name leaves out are as many N."""
     text = text.strip()
+    if m := LONGER.match(text):
+        acc, version, kind, first, last, gone, by, added, again = m.groups()
+        low, high = int(first), int(last or first)
+        head = {"class": CLASSES[kind], "accession": acc, "version": int(version or 0)}
+        if added:
+            # between two neighbours
+            return {**head, "type": "Insertion", "position": low, "deleted": "", "inserted": added} if high == low + 1 else None
+        letters = (again if gone is None else gone) or "N" * (high - low + 1)
+        if len(letters) != high - low + 1:
+            return None
+        if gone is None:
+            return {**head, "type": "Duplication", "position": high, "deleted": "", "inserted": letters}
+        return {**head, "type": "Indel" if by else "Deletion", "position": low - 1, "deleted": letters, "inserted": by or ""}
     if m := NUCLEIC.match(text):
         acc, version, kind, at, old, new = m.groups()
     elif m := PROTEIN.match(text):

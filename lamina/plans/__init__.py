@@ -1,3 +1,3 @@
 """Registered queries; importing a module registers its own."""
 
-from . import commands, derived, elements, exploration, programs, relations, search  # noqa: F401
+from . import commands, derived, elements, exploration, formats, programs, relations, search  # noqa: F401

@@ -183,7 +183,7 @@ _WEIGHTS = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in N.WEIGHTS.items()) + "}
 @query(f"""WITH c AS (SELECT p_partkey, s, list_transform([1, 4, 7, 10], lambda i: {_CODONS}[s[i:i + 2]]) AS r FROM {SEQ_SQL}),
 p AS (SELECT p_partkey, s, array_to_string(r, '') AS plain, (CASE WHEN s[1:3] IN ('TTG', 'CTG', 'ATG') THEN 'M' ELSE r[1] END) || r[2] || r[3] || r[4] AS protein FROM c),
 w AS (SELECT *, replace(plain, '*', '') AS bare FROM p)
-SELECT p_partkey, s, CASE WHEN ends_with(protein, '*') THEN protein[:-2] ELSE protein END AS protein, plain,
+SELECT p_partkey, s, regexp_replace(protein, '[*].*$', '') AS protein, plain,
   CASE WHEN length(bare) > 0 THEN floor({N.WATER} + list_sum(list_transform(regexp_split_to_array(CASE WHEN starts_with(bare, 'M') AND length(bare) > 1 THEN bare[2:] ELSE bare END, ''), lambda x: {_WEIGHTS}[x])) + 0.5)::BIGINT END AS weight,
   array_to_string(list_transform(regexp_split_to_array(plain, ''), lambda x: {_THREE}[x]), '') AS three FROM w""")
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
