@@ -16,13 +16,15 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
+from xml.etree.ElementTree import Element
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import between, slice_range
-from ..sources.markup import VOID, Tree, tree_of
+from ..sources.markup import VOID, Tree, content_of, element_of, tree_of
 
 VISIT = ("rec_id", "ord", "pre", "end", "depth")
 
@@ -257,6 +259,26 @@ def gathered(t: Tree, at: int, s: Selector) -> list[str]:
     return [v for v in values if v]
 
 
+def direct(e: Element, s: Selector) -> list[str] | None:
+    """`gathered` at the outermost element, straight from the parser's element; None where
+    document order needs the tree: a parent's name inside itself."""
+    if s.prefix == "^" or s.name in ("", "*") or s.name.startswith(":"):
+        return None
+    if s.parent:
+        above = list(e.iter(s.parent))
+        if len(above) > 1 and any(next(islice(p.iter(s.parent), 1, None), None) is not None for p in above):
+            return None
+        own = [c for p in above for c in p if c.tag == s.name]
+    else:
+        own = e.iter(s.name)
+    if s.prefix == "#":
+        return [str(sum(1 for _ in own))]
+    values = [c.get(s.attr) for c in own] if s.attr else map(content_of, own)
+    if s.prefix == "%":
+        return [str(sum(len(v.encode()) for v in values if v))]
+    return [v for v in values if v]
+
+
 def _plain(s: Selector) -> bool:
     return not (s.low or s.high or s.after or s.before)
 
@@ -272,6 +294,7 @@ def extract(records: DataFrame, path: str = "", rec_id: str = "rec_id", text: st
     void = VOID if html_void else frozenset()
     every = list(dict.fromkeys(s for p in parsed.values() for s in p))
     lists = pa.list_(pa.string())
+    whole_record = path in ("", "*") and not void
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -279,6 +302,15 @@ def extract(records: DataFrame, path: str = "", rec_id: str = "rec_id", text: st
             for r, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if x is None:
                     continue
+                if whole_record and (e := element_of(x)) is not None:
+                    got = [direct(e, s) for s in every]
+                    if None not in got:
+                        ids.append(r)
+                        for c, v in zip(places, (1, 0, sum(1 for _ in e.iter()) - 1, 0), strict=True):
+                            c.append(v)
+                        for c, v in zip(out, got, strict=True):
+                            c.append(v)
+                        continue
                 t = tree_of(x, void)
                 tops = [i for i, d in enumerate(t.depths) if not d]
                 held = tops if path in ("", "*") else sorted({i for v in tops for i in visits(t, v, path)})

@@ -104,16 +104,34 @@ def _walk(e: ElementTree.Element, parent: int, depth: int, t: Tree) -> None:
     t.ends[i] = len(t.names) - 1
 
 
+def element_of(text: str) -> ElementTree.Element | None:
+    """The element of a record that is well formed and plain, from the expat parser; None for
+    what the tolerant tokenizer must read."""
+    if "<!" in text or "<?" in text or "xmlns" in text:
+        return None
+    try:
+        return ElementTree.fromstring(text)
+    except (ElementTree.ParseError, ValueError):
+        return None
+
+
+def content_of(e: ElementTree.Element) -> str:
+    """An element's own text."""
+    if not len(e):
+        return " ".join(e.text.split()) if e.text else ""
+    return " ".join(w for part in (e.text, *(c.tail for c in e)) if part for w in part.split())
+
+
 def tree_of(text: str, void: frozenset[str] = frozenset(), raw: bool = False) -> Tree:
     """The elements of a record. What is well formed and plain goes through the expat
     parser; comments, declarations, name spaces, void elements and whatever is broken go
     through the tolerant tokenizer, with equal results. raw keeps entities as they are."""
-    if not raw and not void and "<!" not in text and "<?" not in text and "xmlns" not in text:
+    if not raw and not void and (e := element_of(text)) is not None:
         try:
             t = Tree([], [], [], [], [], [])
-            _walk(ElementTree.fromstring(text), -1, 0, t)
+            _walk(e, -1, 0, t)
             return t
-        except (ElementTree.ParseError, RecursionError, ValueError):
+        except RecursionError:
             pass
     n = nodes_of(text, void, raw)
     return Tree(*([x[k] for x in n] for k in ("name", "parent", "end", "depth", "contents", "attrs")))
