@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 #: Rows that one Arrow batch may hold.
 BATCH_ROWS = 2000
-#: A key with more than one in so many rows is hot. At most so many keys can be.
-HOT = 1000
+#: A key with more than one in so many rows is hot, at most so many keys can be, and over so
+#: many join keys its rows are spread.
+HOT, SPREAD = 1000, 64
 #: Pattern of a word, for JVM expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -111,19 +112,22 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str
     """left joined with right (one row for each key) on the column `key` of both.
 
     weight: a column of right, about how many rows of left hold the key; it isn't returned.
-    Keys with more than one in HOT of all rows, which are fewer than HOT by count, are
-    joined on the map side, so a key in a third of all rows is never one task's. how is
-    "inner" or "left"; null keys match nothing. total: the sum of weight, if known. right
-    should be a stored table, as it is read more than once.
+    Keys with more than one in HOT of all rows, which are fewer than HOT by count, are known
+    to every task; their rows are spread over SPREAD join keys, and right is repeated for
+    them, so a key in a third of all rows is never one task's. how is "inner" or "left"; null
+    keys match nothing. total: the sum of weight, if known. right should be a stored table,
+    as it is read more than once.
     """
     if total is None:
         total = right.agg(F.sum(weight)).first()[0] or 0
-    hot = F.broadcast(right.where(F.col(weight) * HOT > total).drop(weight).withColumnRenamed(key, "_hot"))
-    cold = right.where(F.col(weight) * HOT <= total).drop(weight).withColumnRenamed(key, "_cold")
+    is_hot = F.col(weight) * HOT > total
+    keys = F.broadcast(right.where(is_hot).select(F.col(key).alias("_hot")))
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.lit(SPREAD))).otherwise(0).cast("int")
+    spread = left.join(keys, F.col(key) == F.col("_hot"), "left").select(*left.columns, salt.alias("_salt"))
+    salts = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))).alias("_of")
     names = [c for c in right.columns if c not in (key, weight)]
-    rest = left.join(hot.select("_hot"), F.col(key) == F.col("_hot"), "left_anti").join(cold, F.col(key) == F.col("_cold"), how)
-    held = left.join(hot, F.col(key) == F.col("_hot"))
-    return held.select(*left.columns, *names).unionByName(rest.select(*left.columns, *names))
+    held = right.select(F.col(key).alias("_key"), *names, salts)
+    return spread.join(held, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_of")), how).select(*left.columns, *names)
 
 
 def segments(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:

@@ -3,7 +3,7 @@
 Every round is two aggregations and two joins over an edge table that is written to
 the shared folder; the number of rounds grows with the logarithm of the longest path.
 The least node of a component's star is its label. Stars with very many leaves are
-aggregated before the shuffle, and joined on the map side, never collected.
+aggregated before the shuffle, and spread over many join keys, never collected.
 """
 
 from __future__ import annotations

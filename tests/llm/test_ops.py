@@ -416,7 +416,7 @@ def test_scratch_must_be_shared(spark, monkeypatch):
         common.scratch_root(SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(master="yarn")))
 
 
-def test_hot_keys_are_joined_on_the_map_side(spark):
+def test_hot_keys_are_spread(spark):
     from lamina.llm import common
 
     left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 7 == 0, None).otherwise(F.col("id")).alias("k"), "id")
