@@ -321,7 +321,7 @@ def record_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_records(spark, sf_dir).select("rec_id", F.octet_length("xml").alias("bytes"))
 
 
-@query("""SELECT n_nationkey + 100 AS tax_id, n_name AS name, 'nation' AS rank, 'D' || n_regionkey % 2 AS division, r_name || '; ' AS lineage0 FROM nation JOIN region ON n_regionkey = r_regionkey""".replace("r_name || '; ' AS lineage0", "'root; ' || r_name AS lineage"))
+@query("""SELECT (n_nationkey + 100)::BIGINT AS tax_id, n_name AS name, 'nation' AS rank, 'D' || n_regionkey % 2 AS division, r_name || '; ' AS lineage0 FROM nation JOIN region ON n_regionkey = r_regionkey""".replace("r_name || '; ' AS lineage0", "'root; ' || r_name AS lineage"))
 def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names, ranks, divisions and lineages of a tree of three levels."""
     n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
