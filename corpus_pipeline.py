@@ -1,5 +1,9 @@
 """From documents to token ids: the stages of a training corpus, each over all that the
-one before kept."""
+one before kept.
+
+Stages take any columns besides doc_id, text and source, whatever their names, and an empty
+table, which stays empty. Repeated rows are each a row; null ids are ids of no document.
+"""
 
 from __future__ import annotations
 
@@ -12,28 +16,33 @@ from lamina.llm.queries import PIECES
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; null texts stay, empty ones are judged. Labels
+    of documents that aren't among docs aren't learned from; without any, nothing goes."""
     return toxicity.keep_clean(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share go from all but one; n_chars follows."""
+    """Lines that many documents share go from all but one; n_chars follows. Null texts stay
+    null; a text that loses every line stays as an empty one."""
     out = lines.dedup_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, that with the smallest id; texts without
+    words, null ones too, are copies of each other."""
     return simhash.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; a null source is a source, and one
+    without words is left out."""
     return mixing.mix_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Counts and digests of each document's token ids and of what they decode to."""
+    """Counts and digests of each document's token ids and of what they decode to; null and
+    empty texts have none."""
     return pieces.encode_digests(docs, PIECES)
 
 

@@ -87,6 +87,31 @@ FROM m GROUP BY doc_id, r
 """
 
 
+LEADS = ", ".join(f"lead(w, {i}) OVER o" for i in range(1, 35))
+
+SQL["op9_substring_dedup"] = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents),
+w AS (SELECT r, unnest(a) AS w, unnest(range(len(a))) AS p, len(a) AS n FROM d),
+k AS (SELECT r, p, n, md5(concat_ws(' ', w, {LEADS})) AS k FROM w WINDOW o AS (PARTITION BY r ORDER BY p)),
+f AS (SELECT r, p, k FROM k WHERE p + 35 <= n),
+h AS (SELECT k FROM f GROUP BY k HAVING count(*) > 1),
+g AS (SELECT DISTINCT r, p + j AS p FROM (SELECT r, p, unnest(range(35)) AS j FROM f JOIN h USING (k))),
+s AS (SELECT w.r, count(*) AS n, count(g.p) AS gone, string_agg(w.w, ' ' ORDER BY w.p) FILTER (g.p IS NULL) AS kept FROM w LEFT JOIN g ON w.r = g.r AND w.p = g.p GROUP BY w.r)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (r)
+"""
+
+SQL["op3_embedding_caps"] = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT * FROM e WHERE v IS NOT NULL AND list_bool_and(list_transform(v, lambda x: x IS NOT NULL AND isfinite(x))) AND list_sum(list_transform(v, lambda x: x * x)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+c(id, label) AS (SELECT vec_id, vec_id FROM u UNION SELECT l.b, c.label FROM c JOIN l ON l.a = c.id WHERE c.label < l.b),
+m AS (SELECT id, min(label) AS label FROM c GROUP BY 1),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(m.label, e.vec_id) AS component_id, coalesce(m.label, e.vec_id) = e.vec_id AS kept
+FROM e LEFT JOIN m ON e.vec_id = m.id LEFT JOIN n ON e.vec_id = n.a
+"""
+
+
 def op1_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
