@@ -752,7 +752,7 @@ def test_queries_and_sql_agree(spark):
 
     data = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         con.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
     assert queries.oracle_sql().keys() <= queries.queries().keys() and len(queries.queries()) == 10
     for name, sql in queries.oracle_sql().items():
