@@ -21,8 +21,8 @@ PROTEIN = re.compile(r"^([A-Z]{1,3}_?\d+)(?:\.(\d+))?:p\.\(?([A-Z][a-z]{2})(\d+)
 
 def parse(text: str) -> dict | None:
     """A substitution in g., c. or p. notation, or a deletion, insertion, duplication or both
-    in g. or c. notation, positions from 0; other kinds give nothing. Deleted or duplicated
-    letters that a name leaves out are as many N."""
+    in g. or c. notation with all letters named, positions from 0; other kinds, and names that
+    leave deleted or duplicated letters out, give nothing."""
     text = text.strip()
     if m := LONGER.match(text):
         acc, version, kind, first, last, gone, by, added, again = m.groups()
@@ -31,7 +31,7 @@ def parse(text: str) -> dict | None:
         if added:
             # between two neighbours
             return {**head, "type": "Insertion", "position": low, "deleted": "", "inserted": added} if high == low + 1 else None
-        letters = (again if gone is None else gone) or "N" * (high - low + 1)
+        letters = again if gone is None else gone
         if len(letters) != high - low + 1:
             return None
         if gone is None:

@@ -92,9 +92,9 @@ def scored_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT p_partkey::VARCHAR AS id, 'NC_1.2:' || p_partkey || ':AC:' AS spdi FROM part UNION ALL SELECT p_partkey::VARCHAR, 'NC_1.2:' || p_partkey + 1 || '::GG' FROM part
-UNION ALL SELECT p_partkey::VARCHAR, 'NC_1.2:' || p_partkey || ':NN:T' FROM part UNION ALL SELECT p_partkey::VARCHAR, 'NC_1.2:' || p_partkey + 2 || '::AC' FROM part""")
+UNION ALL SELECT p_partkey::VARCHAR, 'NC_1.2:' || p_partkey || ':AC:T' FROM part UNION ALL SELECT p_partkey::VARCHAR, 'NC_1.2:' || p_partkey + 2 || '::AC' FROM part""")
 def longer_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deletions, insertions, both, and duplications."""
     k = F.col("p_partkey")
-    text = F.format_string("NC_1.2:g.%s_%sdelAC,NC_1.2:g.%s_%sinsGG,NC_1.2:g.%s_%sdelinsT,NC_1.2:g.%s_%sdupAC,junk", k + 1, k + 2, k + 1, k + 2, k + 1, k + 2, k + 1, k + 2)
+    text = F.format_string("NC_1.2:g.%s_%sdelAC,NC_1.2:g.%s_%sinsGG,NC_1.2:g.%s_%sdelACinsT,NC_1.2:g.%s_%sdupAC,junk", k + 1, k + 2, k + 1, k + 2, k + 1, k + 2, k + 1, k + 2)
     return G.spdi(G.variants(read(spark, sf_dir, "part").select(k.alias("id"), text.alias("text"))))

@@ -81,8 +81,8 @@ def test_translation_options():
     "text, want",
     [
         ("NM_1.2:c.5_6delAC", ("Deletion", 4, "AC", "")),
-        ("NM_1.2:c.5del", ("Deletion", 4, "N", "")),
-        ("NM_1.2:c.5_6delinsTTT", ("Indel", 4, "NN", "TTT")),
+        ("NM_1.2:c.5del", None),
+        ("NM_1.2:c.5_6delACinsTTT", ("Indel", 4, "AC", "TTT")),
         ("NC_1:g.5_6insG", ("Insertion", 5, "", "G")),
         ("NC_1:g.5_6dupAC", ("Duplication", 6, "", "AC")),
         ("NC_1:g.5_9insG", None),
