@@ -96,15 +96,23 @@ def groups_of(df: DataFrame, n: int, column: str, order: str, sep: str = ",") ->
 
 
 def with_place(df: DataFrame, order: str, name: str = "place") -> DataFrame:
-    """Adds the 0-based place of each row in a global order: the rows' partitions by range
-    are numbered, counted, and each adds the counts before it. The number of ranges is given,
-    so that no reader merges them, and both readers share one exchange."""
+    """Adds the 0-based place of each row in a global order. A first reader cuts the keys into
+    ranges and keeps each one's least key and count; the rows look their range up in these, and
+    each adds the counts before it. Ranges are sampled anew by each exchange, so the rows never
+    rely on an exchange of their own. The number of ranges is given, so that none are merged."""
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(ranges, F.col(order)).withColumn("_part", F.spark_partition_id())
-    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    key = F.struct(F.col(order).alias("o"))  # never null itself, and a null in it comes first
+    parts = df.select(key.alias("_low")).repartitionByRange(ranges, "_low").withColumn("_part", F.spark_partition_id())
+    counts = parts.groupBy("_part").agg(F.min("_low").alias("_low"), F.count("*").alias("_n"))
+    before = counts.select("_low", (F.sum("_n").over(Window.orderBy("_low")) - F.col("_n")).alias("_before"))
+    bounds = before.agg(F.array_sort(F.collect_list(F.struct("_low", "_before"))).alias("_bounds"))
+    # the last range that begins at or before the key, by halving steps; past the end is null
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(ranges.bit_length()))))
+    at = F.aggregate(steps, F.lit(0), lambda i, step: F.when(F.get("_bounds", i + step - 1)["_low"] <= key, i + step).otherwise(i))
+    rows = df.crossJoin(F.broadcast(bounds)).withColumn("_part", at)  # bounds are one row
+    placed = rows.withColumn("_before", F.get("_bounds", F.col("_part") - 1)["_before"]).drop("_bounds")
     within = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
-    return parts.withColumn("_w", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_w")).drop("_part", "_w", "_before")
+    return placed.withColumn("_w", within).withColumn(name, F.col("_before") + F.col("_w")).drop("_part", "_w", "_before")
 
 
 def keep_from_nth(df: DataFrame, counts: DataFrame, uid: str, order: str) -> DataFrame:
