@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -21,6 +21,13 @@ STOP_WORDS = tuple(
 BREAK = r"[^\p{L}\p{Nd}]+"
 
 
+def given(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x evaluated once, however often it is used. Outside generated code Spark
+    evaluates an expression anew for each mention, and a mention within a lambda anew for each
+    element."""
+    return F.get(F.transform(F.array(x), lambda v: use(v)), F.lit(0))
+
+
 def stop(w: Column) -> Column:
     return w.isin(*STOP_WORDS)
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, pairs, stop, unescape
+from ..functions.text import fold, given, pairs, stop, unescape
 
+#: Runs of anything but a-z, 0-9 and points. As a negated class of several ranges it is slower
+#: by a factor of ten where tasks share a JVM: they contend for the type checks of its lambdas.
+NOT_TERM = r"(?s:(?!\p{Lower}|\p{Digit}|\.).)++"
 #: A paragraph begins at the next multiple of this, at least GAP after the last word.
 STEP, GAP = 100, 20
 
@@ -17,16 +20,23 @@ def prepared(x: Column) -> Column:
     return F.regexp_replace(F.lower(unescape(fold(x))), r"[()_\-]", " ")
 
 
+def running(x: Column) -> Column:
+    """Running sums of an array of numbers: sums of 1, 2, 4, 8 neighbours and so on, so that n
+    numbers take n log n steps."""
+    steps = lambda v: F.filter(F.array(*(F.lit(1 << k) for k in range(31))), lambda n: n < F.size(v))
+    return given(x, lambda v: F.aggregate(steps(v), v, lambda a, n: F.transform(a, lambda y, i: y + F.coalesce(F.get(a, i - n), F.lit(0)))))
+
+
 def paragraph_terms(docs: DataFrame, uid: str, paragraphs: Column, field: str) -> DataFrame:
     """(uid, field, term, pos): every word takes a place; stop words and numbers aren't
     kept. A new paragraph leaves a gap, so phrases don't cross it."""
     # the text is prepared as a whole, in generated code, and parted again
     text = F.regexp_replace(prepared(F.array_join(paragraphs, "\x1f")), "[.,:;]+(\\s|$|(?=\x1f))", " ")
-    words = F.transform(F.split(text, "\x1f"), lambda p: F.filter(F.split(p, r"[^a-z0-9.]+"), lambda w: w != ""))
-    # a paragraph begins at the sum of the rounded sizes of those before it
-    sizes = F.transform(words, lambda w: (F.ceil((F.size(w) + GAP) / STEP) * STEP).cast("int"))
-    begins = F.transform(words, lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, n: a + n))
-    placed = F.flatten(F.zip_with(words, begins, lambda w, b: F.transform(w, lambda t, i: F.struct(t.alias("term"), (b + i).cast("int").alias("pos")))))
+    words = F.transform(F.split(text, "\x1f"), lambda p: F.filter(F.split(p, NOT_TERM), lambda w: w != ""))
+    rounded = lambda w: (F.ceil((F.size(w) + GAP) / STEP) * STEP).cast("int")
+    # a paragraph begins at the sum of the rounded sizes of those before it, its own taken off again
+    begins = lambda ws: F.zip_with(running(F.transform(ws, rounded)), ws, lambda end, w: end - rounded(w))
+    placed = given(words, lambda ws: F.flatten(F.zip_with(ws, begins(ws), lambda w, b: F.transform(w, lambda t, i: F.struct(t.alias("term"), (b + i).cast("int").alias("pos"))))))
     rows = docs.select(F.col(uid).alias("uid"), F.explode(placed).alias("t")).select("uid", F.lit(field).alias("field"), "t.term", "t.pos")
     return rows.where(~stop(F.col("term")) & ~F.col("term").rlike("^[0-9.]+$"))
 
