@@ -159,8 +159,9 @@ def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seq() -> Column:
-    """A made-up sequence for each part: digits of its key written in bases."""
-    return F.translate(F.lpad(F.conv((F.col("p_partkey") * 7919 + 104729).cast("string"), 10, 4), 12, "0"), "0123", "ACGT")
+    """A made-up sequence for each part: the last twelve digits of its key written in bases."""
+    digits = F.conv((F.col("p_partkey") * 7919 + 104729).cast("string"), 10, 4)
+    return F.translate(F.right(F.lpad(digits, 32, "0"), F.lit(12)), "0123", "ACGT")
 
 
 SEQ_SQL = """(SELECT p_partkey, translate(array_to_string(list_transform(range(11, -1, -1), lambda i: ((p_partkey * 7919 + 104729) // (4 ** i)::BIGINT % 4)::VARCHAR), ''), '0123', 'ACGT') AS s FROM part)"""
