@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import pairs, relax, words
+from ..functions.text import given, pairs, relax, words
 
 LEAST_VOTES, MOST_CANDIDATES, LEAST_SCORE = 4, 25, 60
 
@@ -82,8 +82,8 @@ def keep_unless_empty(df: DataFrame, key: str, test: Column, strict: bool = Fals
 
 def classify(docs: DataFrame, aliases: dict[str, str]) -> DataFrame:
     """(id, labels): distinct labels, sorted, of the aliases that are whole words of a text.
-    The table of aliases is a plan constant, and all are looked for in one pass."""
+    The table of aliases is a plan constant, and a text is cleaned once for all of them."""
     text = F.concat(F.lit(" "), F.lower(relax(F.col("text"))), F.lit(" "))
-    hits = [F.when(text.contains(f" {' '.join(a.lower().split())} "), F.lit(label)) for a, label in aliases.items()]
-    found = F.array_sort(F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull())))
+    hits = lambda t: F.array(*(F.when(t.contains(f" {' '.join(a.lower().split())} "), F.lit(label)) for a, label in aliases.items()))
+    found = F.array_sort(F.array_distinct(F.filter(given(text, hits), lambda x: x.isNotNull())))
     return docs.select("id", found.alias("labels"))
