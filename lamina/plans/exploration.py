@@ -22,6 +22,12 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("rec_id"), text.alias("xml"))
 
 
+def streams(records: DataFrame) -> DataFrame:
+    """(g, value): sets of records, a thousand ids to a set, so that more records are more sets."""
+    text = F.concat(F.lit("<?xml version='1.0'?><Set><!-- <Order> -->"), F.array_join(F.collect_list("xml"), "\n"), F.lit("</Set>"))
+    return records.groupBy(F.floor(F.col("rec_id") / 1000).alias("g")).agg(text.alias("value"))
+
+
 def order_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.node_table(order_records(spark, sf_dir))
 
@@ -59,9 +65,8 @@ def xml_synopsis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_orderkey AS rec_id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) AND o_orderstatus = 'O'""")
 def xml_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records put into one stream of markup and split out of it again, then selected."""
-    sets = order_records(spark, sf_dir).groupBy(F.pmod("rec_id", F.lit(16)).alias("g")).agg(F.concat(F.lit("<?xml version='1.0'?><Set><!-- <Order> -->"), F.array_join(F.collect_list("xml"), "\n"), F.lit("</Set>")).alias("value"))
-    split = K.records(sets, "Set/*")
+    """Records put into streams of markup and split out of them again, then selected."""
+    split = K.records(streams(order_records(spark, sf_dir)), "Set/*")
     return split.where(F.col("xml").contains('status="O"')).select(F.regexp_extract("xml", 'id="([0-9]+)"', 1).cast("long").alias("rec_id"))
 
 
