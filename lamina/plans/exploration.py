@@ -15,10 +15,13 @@ from .elements import read
 
 def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rec_id, xml): an element for each order that has lines, with its lines inside."""
-    item = F.struct("l_linenumber", F.format_string('<Line n="%s"><Part>%s</Part><Flag>%s</Flag><Qty>%s</Qty></Line>', "l_linenumber", "l_partkey", "l_returnflag", F.col("l_quantity").cast("long")).alias("x"))
-    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["x"]), "").alias("lines"))
+    put = lambda *parts: F.concat(*(F.lit(x) if i % 2 == 0 else F.coalesce(F.col(x).cast("string"), F.lit("null")) for i, x in enumerate(parts)))
+    line = put('<Line n="', "l_linenumber", '"><Part>', "l_partkey", "</Part><Flag>", "l_returnflag", "</Flag><Qty>", "_qty", "</Qty></Line>")
+    item = F.struct("l_linenumber", line.alias("x"))
+    rows = read(spark, sf_dir, "lineitem").withColumn("_qty", F.col("l_quantity").cast("long"))
+    lines = rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["x"]), "").alias("lines"))
     o = read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    text = F.format_string('<Order id="%s" status="%s"><Priority>%s</Priority><Lines>%s</Lines></Order>', "o_orderkey", "o_orderstatus", "o_orderpriority", "lines")
+    text = put('<Order id="', "o_orderkey", '" status="', "o_orderstatus", '"><Priority>', "o_orderpriority", "</Priority><Lines>", "lines", "</Lines></Order>")
     return o.select(F.col("o_orderkey").alias("rec_id"), text.alias("xml"))
 
 
