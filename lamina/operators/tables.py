@@ -186,13 +186,23 @@ def gene_ranges(df: DataFrame, keys: list[str], start: str, end: str) -> DataFra
     return g.select(*keys, "low", "high", strand.alias("strand"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df parted by keys into the session's number of partitions. Because that is given none are
+    merged, so what a task sorts or aggregates is that share of the rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def split_at_gaps(df: DataFrame, keys: list[str], start: str, end: str, gap: int = 30) -> DataFrame:
     """(keys, part, low, high): the runs of intervals, parted where at least `gap` places lie
-    between the end so far and the next start."""
+    between the end so far and the next start. Repeated intervals count once: they stand next to
+    each other and begin nothing, so they needn't be made distinct."""
     w = Window.partitionBy(*keys).orderBy(start, end)
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce((F.col(start) - F.col("_before") - 1 >= gap).cast("int"), F.lit(1))
-    marked = df.withColumn("_before", before).withColumn("part", F.sum(new).over(w).cast("int"))
+    item = F.struct(F.col(start).alias("s"), F.col(end).alias("e"))
+    again = F.coalesce(F.lag(item).over(w) == item, F.lit(False))  # nulls in structs are equal
+    new = F.when(F.col("_again"), 0).otherwise(F.coalesce((F.col(start) - F.col("_before") - 1 >= gap).cast("int"), F.lit(1)))
+    told = spread(df, *keys).withColumn("_before", before).withColumn("_again", again)
+    marked = told.withColumn("part", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     return marked.groupBy(*keys, "part").agg(F.min(start).alias("low"), F.max(end).alias("high"))
 
 
