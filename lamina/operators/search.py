@@ -9,13 +9,17 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, stem
 from .positions import proximity
+from .tables import spread
 
+#: Words of a phrase that one number holds a bit each of.
+BITS = 62
 TOKEN = re.compile(r"\(|\)|\[[A-Za-z0-9 ]+\]|~+(?:\s+~+)*|\+|[^\s()\[\]~+]+")
 
 
@@ -113,9 +117,14 @@ def starts(index: DataFrame, p: Phrase) -> DataFrame:
     test = term_test(words[0][1])
     for _, w in words[1:]:
         test = test | term_test(w)
-    hit = F.filter(F.array(*(F.when(term_test(w), F.struct(F.lit(i).alias("i"), (F.col("pos") - i).alias("start"))) for i, w in words)), lambda s: s.isNotNull())
-    spread = rows.where(test).select("uid", F.explode(hit).alias("s")).select("uid", "s.i", "s.start").distinct()
-    return spread.groupBy("uid", "start").agg(F.count("*").alias("n")).where((F.col("n") == len(words)) & (F.col("start") >= 0)).select("uid", "start")
+    # a bit for each word: repeated hits add nothing, so they needn't be made distinct
+    own = [F.struct((F.col("pos") - i).alias("start"), F.lit(n // BITS).alias("part"), F.lit(1 << n % BITS).cast("long").alias("bit")) for n, (i, _) in enumerate(words)]
+    hit = F.filter(F.array(*(F.when(term_test(w), x) for (_, w), x in zip(words, own, strict=True))), lambda s: s.isNotNull())
+    hits = rows.where(test).select("uid", F.explode(hit).alias("s")).select("uid", "s.start", "s.part", "s.bit").where("start >= 0")
+    full = {k: (1 << min(BITS, len(words) - k * BITS)) - 1 for k in range((len(words) + BITS - 1) // BITS)}
+    masks = [F.bit_or(F.when(F.col("part") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in full]
+    found = spread(hits, "uid").groupBy("uid", "start").agg(*masks)
+    return found.where(reduce(lambda x, y: x & y, (F.col(f"m{k}") == m for k, m in full.items()))).select("uid", "start")
 
 
 def places(index: DataFrame, node: object) -> tuple[DataFrame, int]:
